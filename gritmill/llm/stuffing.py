@@ -8,7 +8,7 @@ when one shape of them fills the page, so a short remark or a heading never does
 
 Defined results
 ---------------
-* null, empty or blank text, or one of fewer than ``MIN_WORDS`` units: no case;
+* null, empty or blank text, or one of fewer than ``MIN_CHARS`` characters: no case;
 * copies of a text under several ids are each judged, the same way;
 * texts are read whole, whatever their length.
 """
@@ -17,11 +17,16 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
-MIN_WORDS = 8
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MIN_CHARS = 30
 SPAM_SHARE = 0.5
 REPEAT = 2.0
-FEW_SHAPES = 6
 
 _LINK = re.compile(
     r"<a\s[^>]*href=[^>]*>.*?</a>|<loc>.*?</loc>|\[[^\]\n]*\]\([^)\s]*\)|(?:https?|ftp)://[^\s,;|)>\]\"'，、。]+|www\.[^\s,;|)>\]\"'，、。]+"
@@ -149,7 +154,31 @@ def spam_share(text: str | None) -> tuple[float, int, float]:
 
 def stuffed(text: str | None) -> bool:
     """Whether a page consists mainly of keywords, links or tags."""
-    if not text or len(text) < 30:
+    if not text or len(text) < MIN_CHARS:
         return False
     share, forms, _ = spam_share(text)
     return share > SPAM_SHARE and forms > 0
+
+
+def stuffed_pages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Ids of the pages made to catch searches. No shuffle but that of the ids found."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column(0)
+            keep = pa.array([stuffed(t) for t in b.column(1).to_pylist()], pa.bool_())
+            yield pa.RecordBatch.from_arrays([ids.filter(keep)], names=[id_col])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    pages = df.select(id_col, text_col).where(F.length(text_col) >= MIN_CHARS)
+    return pages.mapInArrow(run, f"{id_col} {kind}").distinct()
+
+
+def page_shapes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Share, number of shapes and repetition that each page is judged by; nulls and blanks give zeros."""
+
+    @F.pandas_udf("share double, shapes int, repetition double")
+    def measure(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([spam_share(t) for t in texts], columns=["share", "shapes", "repetition"])
+
+    return df.select(id_col, measure(F.col(text_col)).alias("m")).select(id_col, "m.*")
