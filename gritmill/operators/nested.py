@@ -209,9 +209,3 @@ def _positions() -> list:
         F.when(reach, at(0)).otherwise(at(1)).cast("int").alias("item_pos"),
         F.when(reach, F.lit(-1)).otherwise(at(2)).cast("int").alias("evidence_pos"),
     ]
-
-
-def evidence_snippets(validation: DataFrame) -> DataFrame:
-    """Every evidence object with its positions and its snippet as written."""
-    rows = emit(validation, (SCORE,), "record_id").where(F.col("tag") == "evidence")
-    return rows.select("record_id", *_positions(), F.get_json_object("payload", "$.snippet").alias("snippet"))
