@@ -1,7 +1,7 @@
 """Byte-pair encoding of a corpus by a public vocabulary, on the JVM.
 
-The vocabulary becomes literal maps of the plan: hash tables of a few pieces per
-bucket, so that a lookup costs the same for every entry. A text is cut into
+The vocabulary becomes literal maps of the plan: two-choice hash tables, so that a
+lookup costs two probes at most. A text is cut into
 words by one regular expression. Words that are pieces themselves are looked up
 where they stand. Of the others the *distinct* ones are encoded once, by a fold
 over their byte array that merges the pair of least rank, and joined back.
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import json
+import zlib
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -27,13 +28,13 @@ from pyspark.sql import functions as F
 
 from gritmill.tables import written
 
-BUCKETS = 1 << 15
 NO_RANK = 2_147_483_647
 # Fixed value: white space as Unicode defines it, for an engine whose \s is ASCII.
 _SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-# Fixed value: the word pattern of the vocabulary, with that white space spelled out.
+# Fixed value: the word pattern of the vocabulary, with that white space spelled out
+# and letters first, which no other branch can begin with.
 WORD_PATTERN = (
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + _SPACE + r"\p{L}\p{N}]+|[" + _SPACE + r"]+(?![^" + _SPACE + r"])|[" + _SPACE + r"]+"
+    r" ?\p{L}++|'(?:[stmd]|re|ve|ll)| ?\p{N}++| ?[^" + _SPACE + r"\p{L}\p{N}]++|[" + _SPACE + r"]+(?![^" + _SPACE + r"])|[" + _SPACE + r"]+"
 )
 
 
@@ -49,15 +50,33 @@ def read_vocabulary(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in (line.split() for line in f if line.strip())}
 
 
-def _bucketed(entries: list[tuple[str, int]]) -> str:
-    buckets: list[list] = [[] for _ in range(BUCKETS)]
+def _slots(key: str, slots: int) -> tuple[int, int]:
+    data = key.encode()
+    return xxhash.xxh64_intdigest(data, seed=42) & (slots - 1), zlib.crc32(data) & (slots - 1)
+
+
+def _hashed(entries: list[tuple[str, object]]) -> tuple[int, str, str]:
+    """A two-choice (cuckoo) table of the entries: its slots, and two JSON arrays; every key lies in one of its two slots."""
+    slots = 1 << max(4, (5 * len(entries) // 2).bit_length())
+    keys: list = [None] * slots
+    values: list = [None] * slots
     for key, value in entries:
-        buckets[xxhash.xxh64_intdigest(key.encode(), seed=42) & (BUCKETS - 1)].append({"k": key, "v": value})
-    return json.dumps(buckets, ensure_ascii=False, separators=(",", ":"))
+        at = _slots(key, slots)[0]
+        for _ in range(2_000):
+            key, keys[at] = keys[at], key
+            value, values[at] = values[at], value
+            if key is None:
+                break
+            one, two = _slots(key, slots)
+            at = two if at == one else one
+        else:
+            raise ValueError("the table is too full")
+    dump = lambda x: json.dumps(x, ensure_ascii=False, separators=(",", ":"))
+    return slots, dump(keys), dump(values)
 
 
 @lru_cache(maxsize=4)
-def _maps(path: str) -> tuple[str, str, str]:
+def _maps(path: str) -> tuple[tuple[int, str, str], tuple[int, str, str], str]:
     vocabulary = read_vocabulary(path)
     whole = []
     for piece, rank in vocabulary.items():
@@ -68,7 +87,28 @@ def _maps(path: str) -> tuple[str, str, str]:
     pieces = [""] * (max(vocabulary.values()) + 1)
     for piece, rank in vocabulary.items():
         pieces[rank] = piece.hex()
-    return _bucketed(whole), _bucketed([(p.hex().upper(), r) for p, r in vocabulary.items()]), json.dumps(pieces)
+    return _hashed(whole), _hashed([(p.hex().upper(), r) for p, r in vocabulary.items()]), json.dumps(pieces)
+
+
+class Table:
+    """A literal table of a plan. ``bind`` gives it to an expression as one value, so the plan holds it once, however often it is asked."""
+
+    def __init__(self, hashed: tuple[int, str, str], kind: str):
+        self.slots = hashed[0]
+        self.literal = F.struct(
+            F.from_json(F.lit(hashed[1]), "array<string>").alias("k"), F.from_json(F.lit(hashed[2]), f"array<{kind}>").alias("v")
+        )
+
+    def bind(self, body: Callable[[Callable[[Column], Column]], Column]) -> Column:
+        """``body`` gets a function from a key to its value, else null."""
+        mask = F.lit(self.slots - 1).cast("bigint")
+
+        def find(table: Column, key: Column) -> Column:
+            one, two = F.xxhash64(key).bitwiseAND(mask).cast("int"), F.crc32(key).bitwiseAND(mask).cast("int")
+            keys, values = table["k"], table["v"]
+            return F.when(F.get(keys, one) == key, F.get(values, one)).when(F.get(keys, two) == key, F.get(values, two))
+
+        return _bound(self.literal, lambda table: body(lambda key: find(table, key)))
 
 
 def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -82,60 +122,56 @@ class Encoder:
     def __init__(self, path: str | None = None):
         self.path = path or default_vocabulary()
         whole, ranks, pieces = _maps(self.path)
-        kind = "array<array<struct<k:string,v:int>>>"
-        self._whole = F.from_json(F.lit(whole), kind)
-        self._ranks = F.from_json(F.lit(ranks), kind)
+        self.whole = Table(whole, "int")
+        self.ranks = Table(ranks, "int")
         self._pieces = F.from_json(F.lit(pieces), "array<string>")
 
-    @staticmethod
-    def _find(table: Column, key: Column) -> Column:
-        slot = F.xxhash64(key).bitwiseAND(F.lit(BUCKETS - 1).cast("bigint")).cast("int")
-        return F.get(F.filter(F.get(table, slot), lambda e: e["k"] == key), F.lit(0))["v"]
-
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD_PATTERN), F.lit(0))
 
-    def whole_word(self, word: Column) -> Column:
-        """The id of a word that is a piece, else null."""
-        return self._find(self._whole, word)
+    def word_ids(self, word: Column) -> Column:
+        """Ids of one word."""
+        return self.ranks.bind(lambda find: fold_merges(word, find))
 
-    def _rank(self, piece: Column) -> Column:
-        return F.coalesce(self._find(self._ranks, piece), F.lit(NO_RANK))
+    def decode(self, ids: Column) -> Column:
+        """The text of ids: their binary pieces, concatenated."""
+        text = _bound(self._pieces, lambda pieces: F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""))
+        return F.unhex(text).cast("string")
 
-    def word_ids(self, word: Column) -> Column:
-        """Ids of one word: a fold that merges the leftmost pair of least rank until none is left."""
-        none = F.array().cast("array<int>")
 
-        def merged(s: Column, k: Column) -> Column:
-            p, r = s["p"], s["r"]
+def fold_merges(word: Column, find: Callable[[Column], Column]) -> Column:
+    """Ids of a word: a fold over its byte array that merges the leftmost pair of least rank until none is left."""
+    none = F.array().cast("array<int>")
 
-            def placed(joined: Column) -> Column:
-                left = F.when(k > 0, F.array(self._rank(F.concat(F.get(p, k - 1), joined)))).otherwise(none)
-                right = F.when(k + 2 < F.size(p), F.array(self._rank(F.concat(joined, F.get(p, k + 2))))).otherwise(none)
-                return F.struct(
-                    F.concat(F.slice(p, F.lit(1), k), F.array(joined), F.slice(p, k + 3, F.size(p))).alias("p"),
-                    F.concat(F.slice(r, F.lit(1), F.greatest(k - 1, F.lit(0))), left, right, F.slice(r, k + 3, F.size(p))).alias("r"),
-                )
+    def rank(piece: Column) -> Column:
+        return F.coalesce(find(piece), F.lit(NO_RANK))
 
-            return _bound(F.concat(F.get(p, k), F.get(p, k + 1)), placed)
+    def merged(s: Column, k: Column) -> Column:
+        p, r = s["p"], s["r"]
 
-        def step(s: Column, _: Column) -> Column:
-            def at_least(least: Column) -> Column:
-                return F.when(least < NO_RANK, _bound(F.array_position(s["r"], least).cast("int") - 1, lambda k: merged(s, k))).otherwise(s)
+        def placed(joined: Column) -> Column:
+            left = F.when(k > 0, F.array(rank(F.concat(F.get(p, k - 1), joined)))).otherwise(none)
+            right = F.when(k + 2 < F.size(p), F.array(rank(F.concat(joined, F.get(p, k + 2))))).otherwise(none)
+            return F.struct(
+                F.concat(F.slice(p, F.lit(1), k), F.array(joined), F.slice(p, k + 3, F.size(p))).alias("p"),
+                F.concat(F.slice(r, F.lit(1), F.greatest(k - 1, F.lit(0))), left, right, F.slice(r, k + 3, F.size(p))).alias("r"),
+            )
 
-            return _bound(F.array_min(s["r"]), at_least)
+        return _bound(F.concat(F.get(p, k), F.get(p, k + 1)), placed)
 
-        def folded(parts: Column) -> Column:
-            pairs = F.zip_with(F.slice(parts, F.lit(1), F.size(parts) - 1), F.slice(parts, F.lit(2), F.size(parts) - 1), lambda a, b: F.concat(a, b))
-            first = F.struct(parts.alias("p"), F.transform(pairs, lambda w: self._rank(w)).alias("r"))
-            many = F.aggregate(F.sequence(F.lit(2), F.size(parts)), first, step, lambda s: s["p"])
-            return F.transform(F.when(F.size(parts) > 1, many).otherwise(parts), lambda w: self._rank(w))
+    def step(s: Column, _: Column) -> Column:
+        def at_least(least: Column) -> Column:
+            return F.when(least < NO_RANK, _bound(F.array_position(s["r"], least).cast("int") - 1, lambda k: merged(s, k))).otherwise(s)
 
-        return _bound(F.regexp_extract_all(F.hex(word), F.lit(".."), F.lit(0)), folded)
+        return _bound(F.array_min(s["r"]), at_least)
 
-    def decode(self, ids: Column) -> Column:
-        """The text of ids: their binary pieces, concatenated."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self._pieces, i)), "")).cast("string")
+    def folded(parts: Column) -> Column:
+        pairs = F.zip_with(F.slice(parts, F.lit(1), F.size(parts) - 1), F.slice(parts, F.lit(2), F.size(parts) - 1), lambda a, b: F.concat(a, b))
+        first = F.struct(parts.alias("p"), F.transform(pairs, lambda w: rank(w)).alias("r"))
+        many = F.aggregate(F.sequence(F.lit(2), F.size(parts)), first, step, lambda s: s["p"])
+        return F.transform(F.when(F.size(parts) > 1, many).otherwise(parts), lambda w: rank(w))
+
+    return _bound(F.regexp_extract_all(F.hex(word), F.lit(".."), F.lit(0)), folded)
 
 
 # Words of the second literal map, and the longest of them in bytes: what is
@@ -159,15 +195,18 @@ def cut_words(df: DataFrame, text_col: str, keep: list[Column], encoder: Encoder
     """
 
     def count(words: Column) -> Column:
-        missing = F.filter(words, lambda w: encoder.whole_word(w).isNull())
+        missing = encoder.whole.bind(lambda find: F.filter(words, lambda w: find(w).isNull()))
         return _bound(missing, lambda m: F.struct((F.size(words) - F.size(m)).alias("known"), m.alias("missing")))
 
-    def place(found: Column) -> Column:
-        missing = F.array_distinct(F.transform(F.filter(found, lambda f: f["i"].isNull()), lambda f: f["w"]))
+    def place(words: Column) -> Column:
+        return _bound(encoder.whole.bind(lambda find: F.transform(words, lambda w: find(w))), lambda ids: fill(words, ids))
+
+    def fill(words: Column, ids: Column) -> Column:
+        missing = F.array_distinct(F.filter(words, lambda _, n: F.get(ids, n).isNull()))
         return _bound(
             missing,
             lambda m: F.struct(
-                F.transform(found, lambda f: F.coalesce(f["i"], -F.array_position(m, f["w"]).cast("int"))).alias("ids"), m.alias("missing")
+                F.transform(ids, lambda i, n: F.coalesce(i, -F.array_position(m, F.get(words, n)).cast("int"))).alias("ids"), m.alias("missing")
             ),
         )
 
@@ -175,19 +214,25 @@ def cut_words(df: DataFrame, text_col: str, keep: list[Column], encoder: Encoder
     if counts_only:
         cut = _bound(words, count)
     else:
-        cut = _bound(F.transform(words, lambda w: F.struct(encoder.whole_word(w).alias("i"), w.alias("w"))), place)
+        cut = _bound(words, place)
     return df.select(*keep, cut.alias("_cut")).select(*keep, "_cut.*")
 
 
-def frequent_words(cut: DataFrame, encoder: Encoder) -> Column | None:
+def frequent_words(cut: DataFrame, encoder: Encoder) -> Table:
     """The commonest missing words of the whole corpus with their ids, as a second literal map."""
     counts = cut.select(F.explode("missing").alias("word")).groupBy("word").count().where(F.octet_length("word") <= FREQUENT_BYTES)
     top = counts.orderBy(F.desc("count"), "word").limit(FREQUENT_WORDS).select("word")
-    rows = top.repartition(16).select("word", encoder.word_ids(F.col("word")).alias("ids")).collect()
-    buckets: list[list] = [[] for _ in range(BUCKETS)]
-    for r in rows:
-        buckets[xxhash.xxh64_intdigest(r["word"].encode(), seed=42) & (BUCKETS - 1)].append({"k": r["word"], "v": list(r["ids"])})
-    return F.from_json(F.lit(json.dumps(buckets, ensure_ascii=False, separators=(",", ":"))), "array<array<struct<k:string,v:array<int>>>>")
+    rows = top.repartition(8).select("word", encoder.word_ids(F.col("word")).alias("ids")).collect()
+    return Table(_hashed([(r["word"], list(r["ids"])) for r in rows]), "array<int>")
+
+
+def _solved(missing: Column, frequent: Table, encoder: Encoder) -> Column:
+    """Ids of each missing word: looked up if it is common, else folded."""
+    return frequent.bind(
+        lambda known: encoder.ranks.bind(
+            lambda find: F.transform(missing, lambda w: _bound(known(w), lambda k: F.coalesce(k, fold_merges(w, find))))
+        )
+    )
 
 
 def encode(df: DataFrame, text_col: str, keep: list[str], path: str | None = None) -> DataFrame:
@@ -197,24 +242,18 @@ def encode(df: DataFrame, text_col: str, keep: list[str], path: str | None = Non
     words are counted over all of them, the commonest encoded once and looked up,
     the others folded where they stand. No row is shuffled.
     """
-    spark = df.sparkSession
-    _quiet(spark)
+    _quiet(df.sparkSession)
     encoder = Encoder(path)
     cut = written(cut_words(df, text_col, [F.col(c) for c in keep], encoder), "cut")
-    frequent = frequent_words(cut, encoder)
-    solved = F.transform(
-        "missing", lambda w: _bound(Encoder._find(frequent, w), lambda known: F.coalesce(known, encoder.word_ids(w)))
-    )
+    solved = _solved(F.col("missing"), frequent_words(cut, encoder), encoder)
     ids = _bound(solved, lambda s: F.flatten(F.transform("ids", lambda i: F.when(i >= 0, F.array(i)).otherwise(F.get(s, -i - 1)))))
     return cut.select(*keep, ids.alias("ids"))
 
 
 def token_counts(df: DataFrame, text_col: str, keep: list[str], path: str | None = None) -> DataFrame:
     """``keep`` and ``size``, the number of ids, of every row."""
-    spark = df.sparkSession
-    _quiet(spark)
+    _quiet(df.sparkSession)
     encoder = Encoder(path)
     cut = written(cut_words(df, text_col, [F.col(c) for c in keep], encoder, counts_only=True), "cut")
-    frequent = frequent_words(cut, encoder)
-    sizes = F.transform("missing", lambda w: F.coalesce(F.size(Encoder._find(frequent, w)), F.size(encoder.word_ids(w))))
-    return cut.select(*keep, (F.col("known") + F.aggregate(sizes, F.lit(0), lambda a, b: a + b)).alias("size"))
+    solved = _solved(F.col("missing"), frequent_words(cut, encoder), encoder)
+    return cut.select(*keep, (F.col("known") + F.aggregate(solved, F.lit(0), lambda a, b: a + F.size(b))).alias("size"))
