@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gritmill.plans import nested_queries
+from gritmill.plans import finding_queries, nested_queries
 
 
 def core_registries():
-    return [nested_queries.R]
+    return [finding_queries.R, nested_queries.R]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested_queries.p3_found(spark, sf_dir)
+    return finding_queries.R.queries["finding_lifecycle"](spark, sf_dir)
