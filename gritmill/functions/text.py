@@ -98,7 +98,7 @@ def with_commas(c: Column) -> Column:
 
 
 def nonblank_lines(text: Column) -> Column:
-    return F.when(text.isNull(), 0).otherwise(F.size(F.filter(F.split(text, "\n"), lambda line: F.trim(line) != ""))).cast("bigint")
+    return F.when(text.isNull(), 0).otherwise(F.size(F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\s\p{Z}]")))).cast("bigint")
 
 
 def line_range(text: Column, start: Column, end: Column) -> Column:
@@ -182,7 +182,8 @@ def fingerprint(*parts: Column) -> Column:
 
 
 def remediation_section(markdown: Column) -> Column:
-    return F.coalesce(F.trim(F.regexp_extract(markdown, r"(?s)## Remediation(.*?)(?:\n## |$)", 1)), F.lit(""))
+    section = F.regexp_extract(markdown, r"(?s)## Remediation(.*?)(?:\n## |$)", 1)
+    return F.coalesce(F.regexp_replace(section, r"^\s+|\s+$", ""), F.lit(""))
 
 
 def comment_marker_id(body: Column) -> Column:
