@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gritmill.functions.text import lookup
 
@@ -116,7 +117,7 @@ def fix_score(gates: Column) -> Column:
     return F.when(F.size(active) > 0, F.least(earned / total, F.lit(1.0)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def round4_exact(values: pd.Series) -> pd.Series:
     """Four decimals by the exact binary value, half to even; the engine's own rounding goes by the shortest decimal form."""
     return values.map(lambda v: round(v, 4), na_action="ignore")
