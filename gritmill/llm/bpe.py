@@ -60,7 +60,7 @@ def _hashed(entries: list[tuple[str, object]]) -> tuple[int, str, str]:
     slots = 1 << max(4, (5 * len(entries) // 2).bit_length())
     keys: list = [None] * slots
     values: list = [None] * slots
-    for key, value in entries:
+    for key, value in reversed(entries):  # who comes last keeps its first slot: the entries are sorted by frequency
         at = _slots(key, slots)[0]
         for _ in range(2_000):
             key, keys[at] = keys[at], key
@@ -139,8 +139,43 @@ class Encoder:
         return F.unhex(text).cast("string")
 
 
+# Bytes of a word up to which all its pairs are ranked anew for every merge;
+# beyond, ranks are carried along and only the two neighbours of a merge are asked.
+SHORT_WORD = 48
+
+
 def fold_merges(word: Column, find: Callable[[Column], Column]) -> Column:
     """Ids of a word: a fold over its byte array that merges the leftmost pair of least rank until none is left."""
+    return F.when(F.octet_length(word) <= SHORT_WORD, _fold_short(word, find)).otherwise(_fold_long(word, find))
+
+
+def _fold_short(word: Column, find: Callable[[Column], Column]) -> Column:
+    def rank(piece: Column) -> Column:
+        return F.coalesce(find(piece), F.lit(NO_RANK))
+
+    def merged(p: Column, k: Column) -> Column:
+        joined = F.transform(p, lambda x, i: F.when(i == k, F.concat(x, F.get(p, k + 1))).when(i != k + 1, x))
+        return F.struct(F.filter(joined, lambda x: x.isNotNull()).alias("p"), F.lit(True).alias("more"))
+
+    def step(s: Column, _: Column) -> Column:
+        p = s["p"]
+
+        def least(ranks: Column) -> Column:
+            at = F.when(F.array_min(ranks) < NO_RANK, F.array_position(ranks, F.array_min(ranks)).cast("int") - 1)
+            return _bound(at, lambda k: F.when(k.isNull(), F.struct(p.alias("p"), F.lit(False).alias("more"))).otherwise(merged(p, k)))
+
+        ranks = F.transform(p, lambda x, i: F.when(F.get(p, i + 1).isNull(), F.lit(NO_RANK)).otherwise(rank(F.concat(x, F.get(p, i + 1)))))
+        return F.when(s["more"], _bound(ranks, least)).otherwise(s)
+
+    def folded(parts: Column) -> Column:
+        first = F.struct(parts.alias("p"), F.lit(True).alias("more"))
+        many = F.aggregate(F.sequence(F.lit(1), F.size(parts)), first, step, lambda s: s["p"])
+        return F.transform(many, lambda w: rank(w))
+
+    return _bound(F.regexp_extract_all(F.hex(word), F.lit(".."), F.lit(0)), folded)
+
+
+def _fold_long(word: Column, find: Callable[[Column], Column]) -> Column:
     none = F.array().cast("array<int>")
 
     def rank(piece: Column) -> Column:
