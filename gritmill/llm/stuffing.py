@@ -64,58 +64,68 @@ def _units(line: str) -> list[str]:
 
 
 def shape(line: str) -> tuple[str, tuple, list[str]]:
-    """Kind, shape and words of one unit of a line."""
-    links = _LINK.findall(line)
-    rest = _HTML.sub(" ", _LINK.sub(" ", line)) if links else _HTML.sub(" ", line)
-    tags = _TAG.findall(rest)
+    """Kind, shape and words of one unit of a line; cheap tests first, and only marks that can be there are looked for."""
+    if line[:3].strip()[:1].isdigit() and _STAMP.match(line) or line[:1] in "[ADFJMNOS" and _STAMP.match(line):
+        return "log", (), []
+    markup = "<" in line
+    links = _LINK.findall(line) if markup or "://" in line or "www." in line or ".htm" in line or "](" in line else []
+    rest = _LINK.sub(" ", line) if links else line
+    if markup:
+        rest = _HTML.sub(" ", rest)
+    tags = len(_TAG.findall(rest)) if "#" in rest else 0
     bare = _TAG.sub(" ", rest) if tags else rest
     words = _WORD.findall(bare)
-    cjk = len(_CJK.findall(bare))
-    n = len(words) if not cjk else max(len(words), cjk // 2)
-    nums = len(_NUM.findall(bare))
-    seps = len(_SEP.findall(bare))
-    caps = sum(w[:1].isupper() for w in words)
+    cjk = 0 if bare.isascii() else len(_CJK.findall(bare))
+    n = max(len(words), cjk // 2) if cjk else len(words)
     ended = bool(_END.search(bare.rstrip()))
-    form = (_bucket(n), _bucket(caps), _bucket(seps), _bucket(nums), min(len(links), 3), min(len(tags), 3), ended)
-    if _STAMP.match(line):
-        return "log", form, words
+    seps = len(_SEP.findall(bare))
+
+    def form() -> tuple:
+        caps = sum(w[:1].isupper() for w in words)
+        return _bucket(n), _bucket(caps), _bucket(seps), _bucket(len(_NUM.findall(bare))), min(len(links), 3), min(tags, 3), ended
+
     if _SHELL.match(line):
-        return "code", form, words
+        return "code", (), words
     if links and not (_CODE.search(bare) and re.search(r"[(\"'`=]\s*$", line[: line.find(links[0])] if links[0] in line else "")):
-        if n <= 5 * len(links) and not (ended and n > 5):
-            return "link", form, words
-        if not ended and n <= 3 * len(links):
-            return "link", form, words
-    if _NAV.match(rest):
-        return "nav", form, words
-    if len(tags) >= 2 and 2 * len(tags) >= n:
-        return "tag", form, words
+        if n <= 5 * len(links) and not (ended and n > 5) or not ended and n <= 3 * len(links):
+            return "link", form(), words
+    if len(rest) < 80 and _NAV.match(rest):
+        return "nav", form(), words
+    if tags >= 2 and 2 * tags >= n:
+        return "tag", form(), words
     if _PRODUCT.search(bare):
-        return ("tag", form, words) if not (ended and n > 8) else ("sentence", form, words)
+        return ("tag", form(), words) if not (ended and n > 8) else ("sentence", (), words)
     if ended and n >= 3 and seps * 3 <= n:
-        return "sentence", form, words
-    if _PATHROW.match(line.strip()) or nums >= max(3, n):
-        return "table", form, words
+        return "sentence", (), words
+    if _PATHROW.match(line.strip()) or len(_NUM.findall(bare)) >= max(3, n):
+        return "table", (), words
     if _JOINED.match(bare):
-        return "words", form, re.split(r"[\W_]+", bare.strip())
-    if not ended and seps >= 6 and 6 * seps >= n and not _CODE.search(bare):
-        return "list", form, words
-    if _CODE.search(bare) or _FIELD.match(line):
-        return "code", form, words
-    if not n:
-        return "blank", form, words
-    return "words", form, words
-
-
-def spam_share(text: str | None) -> tuple[float, int, float]:
-    """Share of the text in dominant non-sentence shapes, number of those shapes, repetition of words."""
+        return "words", form(), re.split(r"[\W_]+", bare.strip())
+    code = bool(_CODE.search(bare))
+    if not ended and not code and seps >= 6 and 6 * seps >= n:
+        return "list", form(), words
+    if code or _FIELD.match(line):
+        return "code", (), words
+    return ("words", form(), words) if n else ("blank", (), words)
+
+
+_NEVER = frozenset(("sentence", "log", "code", "table", "heading", "blank"))
+
+
+def spam_share(text: str | None, decide: bool = False) -> tuple[float, int, float]:
+    """Share of the text in dominant non-sentence shapes, number of those shapes, repetition of words.
+
+    With ``decide`` it stops with share 0 as soon as lines that never count hold
+    half of the text: then no rest of it could make the share more than a half.
+    """
     if not text or not text.strip():
         return 0.0, 0, 0.0
     size: Counter = Counter()
     lines: Counter = Counter()
     words: Counter = Counter()
     loose: list[str] = []
-    total = 0
+    total = never = 0
+    half = len(text) / 2
     fenced = False
     for line in text.splitlines():
         if _FENCE.match(line):
@@ -129,6 +139,11 @@ def spam_share(text: str | None) -> tuple[float, int, float]:
                 kind = "heading"
             weight = len(unit.strip())
             total += weight
+            if kind in _NEVER:
+                never += weight
+                if decide and never >= half:
+                    return 0.0, 0, 0.0
+                continue
             size[kind, form] += weight
             lines[kind, form] += 1
             if kind in ("words", "list"):
@@ -156,7 +171,7 @@ def stuffed(text: str | None) -> bool:
     """Whether a page consists mainly of keywords, links or tags."""
     if not text or len(text) < MIN_CHARS:
         return False
-    share, forms, _ = spam_share(text)
+    share, forms, _ = spam_share(text, decide=True)
     return share > SPAM_SHARE and forms > 0
 
 
