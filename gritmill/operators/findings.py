@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -118,29 +120,44 @@ def greedy_roots(items: pd.DataFrame, tolerance: int) -> list[int]:
     return roots
 
 
-def cluster_votes(f: DataFrame, tolerance: int = 10, threshold: int = 1, key: str = "file", order: str = "id") -> DataFrame:
+def cluster_votes(f: DataFrame, tolerance: int = 10, threshold: int = 1, order: str = "id") -> DataFrame:
     """Clusters per file with the number of distinct runs that voted and the most confident member, the earliest on ties.
 
-    The grouped map runs per file: a file's findings are bounded by its lines times
-    the classes once exact copies are counted in the partial step before it.
+    Exact copies are counted in an aggregate first. Then the rows of a file come to
+    one task sorted, and a stream keeps only the heads of the file at hand, so no
+    group is held in memory.
     """
-    once = f.groupBy(key, "vuln_class", F.coalesce(X.cwe_number(F.col("cwe")), F.lit(-1)).alias("n"), "line_start", "line_end").agg(
-        F.collect_set("run").alias("runs"), F.min(F.struct("run", F.col(order))).alias("first"),
+    once = f.groupBy("file", "vuln_class", F.coalesce(X.cwe_number(F.col("cwe")), F.lit(-1)).alias("n"), "line_start", "line_end").agg(
+        F.array_sort(F.collect_set("run")).alias("runs"), F.min(F.struct("run", F.col(order))).alias("first"),
         F.min_by(order, F.struct((-F.col("confidence")).alias("c"), F.col("run"), F.col(order))).alias("best"),
         F.max("confidence").alias("confidence"), F.count("*").alias("members"),
     )
-    flat = once.select(key, "vuln_class", "n", "line_start", "line_end", "runs", "best", "confidence", "members", F.col("first.run").alias("r"), F.col(f"first.{order}").alias("o"))
-
-    def one_file(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["r", "o"]).reset_index(drop=True)
-        pdf["root"] = greedy_roots(pdf, tolerance)
-        out = []
-        for _, g in pdf.groupby("root", sort=True):
-            best = g.loc[g["confidence"].idxmax()]
-            out.append((g[key].iloc[0], best["best"], len({x for runs in g["runs"] for x in runs}), int(g["members"].sum()), float(best["confidence"])))
-        return pd.DataFrame(out, columns=[key, "best", "votes", "members", "confidence"])
-
-    voted = flat.groupBy(key).applyInPandas(one_file, f"{key} string, best string, votes bigint, members bigint, confidence double")
+    flat = once.select("file", "vuln_class", "n", "line_start", "line_end", "runs", "best", "confidence", "members", F.col("first.run").alias("r"), F.col(f"first.{order}").alias("o"))
+    names = ["file", "best", "votes", "members", "confidence"]
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, heads = None, []
+        for pdf in batches:
+            out = []
+            for file, cls, n, start, end, runs, best, confidence, members in pdf.itertuples(index=False, name=None):
+                if file != at:
+                    out += [(at, h[4], len(h[5]), h[6], h[7]) for h in heads]
+                    at, heads = file, []
+                for h in heads:
+                    agrees = n == h[0] and n >= 0 or cls == h[1] and (n < 0 or h[0] < 0)
+                    if agrees and (abs(start - h[2]) <= tolerance or h[2] <= end and start <= h[3]):
+                        h[5].update(runs)
+                        h[6] += members
+                        if confidence > h[7]:
+                            h[4], h[7] = best, confidence
+                        break
+                else:
+                    heads.append([n, cls, start, end, best, set(runs), members, confidence])
+            yield pd.DataFrame(out, columns=names)
+        yield pd.DataFrame([(at, h[4], len(h[5]), h[6], h[7]) for h in heads], columns=names)
+
+    sorted_rows = flat.repartition("file").sortWithinPartitions("file", "r", "o").drop("r", "o")
+    voted = sorted_rows.mapInPandas(stream, "file string, best string, votes bigint, members bigint, confidence double")
     return voted.where(F.col("votes") >= threshold)
 
 

@@ -151,3 +151,24 @@ def test_core_does_not_import_the_subpackage():
 
     root = pathlib.Path(__file__).resolve().parent.parent / "gritmill"
     assert not [p for p in root.rglob("*.py") if "llm" not in p.parts and "gritmill.llm" in p.read_text()]
+
+
+def test_votes_against_brute_force(spark, sf):
+    import collections
+
+    from gritmill.plans.domain import domain
+
+    f = domain(spark, sf, "findings")
+    files = collections.defaultdict(list)
+    for r in f.select("file", "vuln_class", X.cwe_number(F.col("cwe")).alias("n"), "line_start", "line_end", "run", "id", "confidence").collect():
+        files[r.file].append(r)
+    want = set()
+    for name, rs in files.items():
+        rs.sort(key=lambda r: (r.run, r.id))
+        groups = collections.defaultdict(list)
+        for root, r in zip(brute_roots([(-1 if r.n is None else r.n, r.vuln_class, r.line_start, r.line_end) for r in rs], 10), rs, strict=True):
+            groups[root].append(r)
+        for g in groups.values():
+            best = max(g, key=lambda r: r.confidence)
+            want.add((name, best.id, len({r.run for r in g}), len(g), best.confidence))
+    assert {tuple(r) for r in O.cluster_votes(f).collect()} == want
