@@ -265,7 +265,7 @@ def _solved(missing: Column, frequent: Table, encoder: Encoder) -> Column:
     """Ids of each missing word: looked up if it is common, else folded."""
     return frequent.bind(
         lambda known: encoder.ranks.bind(
-            lambda find: F.transform(missing, lambda w: _bound(known(w), lambda k: F.coalesce(k, fold_merges(w, find))))
+            lambda find: F.transform(missing, lambda w: F.coalesce(known(w), fold_merges(w, find)))
         )
     )
 
