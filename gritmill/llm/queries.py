@@ -11,7 +11,7 @@ from gritmill.llm.packing import packed
 from gritmill.llm.secrets import redacted, secret_cases
 from gritmill.llm.stuffing import page_shapes, stuffed_pages
 from gritmill.plans.registry import Registry
-from gritmill.tables import table
+from gritmill.tables import table, written
 
 R = Registry()
 
@@ -40,7 +40,7 @@ def p2_found(spark, sf_dir):
 
 @R.query("p2_true_values")
 def p2_true_values(spark, sf_dir):
-    c = without_boilerplate(claims(table(spark, sf_dir, "thirdparty_findings"), table(spark, sf_dir, "feed_trust")))
+    c = without_boilerplate(written(claims(table(spark, sf_dir, "thirdparty_findings"), table(spark, sf_dir, "feed_trust")), "claims"))
     return true_values(c).select("dup_group", "field_name", "value", F.round("truth", 6).alias("truth"))
 
 
