@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from gritmill.llm.bpe import token_counts
 from gritmill.tables import written
 
+# Least number of tasks that number the texts of one length; it grows with the session's partitions.
 SALTS = 64
 # The windows are a small dimension; more of them are refused, not cut off.
 MAX_WINDOWS = 256
@@ -118,10 +119,11 @@ def pieces(sizes: DataFrame, windows: DataFrame) -> DataFrame:
 def packed(documents: DataFrame, windows: DataFrame, path: str | None = None) -> DataFrame:
     """window_id, doc_id, piece, first_token, tokens, window_no of every text and window."""
     spark = documents.sparkSession
-    salt = F.pmod(F.xxhash64("doc_id", F.col("text")), F.lit(SALTS)).cast("int")
+    salts = max(SALTS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    salt = F.pmod(F.xxhash64("doc_id", F.col("text")), F.lit(salts)).cast("int")
     sizes = written(token_counts(documents.select("doc_id", "text", salt.alias("salt")), "text", ["doc_id", "salt"], path), "sizes")
     rows = pieces(sizes, windows)
-    # (window, length, salt): at most windows x capacity x SALTS rows, whatever the number of texts
+    # (window, length, salt): at most windows x capacity x salts rows, whatever the number of texts
     counted = rows.groupBy("window_id", "capacity", "tokens", "salt").agg(F.count("*").alias("n"))
     before = W.partitionBy("window_id", "tokens").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
     offsets = written(counted.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))), "offsets")
