@@ -50,6 +50,9 @@ SELECT DISTINCT concat('src/m', CAST(l_partkey % 20 AS STRING), '.py::f', CAST(l
   concat('src/m', CAST((l_partkey + l_suppkey) % 20 AS STRING), '.py::f', CAST((l_partkey * 3 + l_suppkey) % 97 AS STRING)) AS dst
 FROM {lineitem} WHERE l_linenumber = 1 AND l_partkey % 5 = 0"""
 
+# The graph of all rows; EDGES stays as the SQL twins have it.
+WHOLE_EDGES = EDGES.removesuffix(" WHERE l_linenumber = 1 AND l_partkey % 5 = 0")
+
 SPANS = """
 SELECT concat('src/m', CAST(p_partkey % 20 AS STRING), '/f', CAST(p_partkey AS STRING), CASE WHEN p_partkey % 4 = 0 THEN '.js' ELSE '.py' END) AS file,
   concat('fn', CAST(k AS STRING)) AS function, CAST(1 + k * 40 AS BIGINT) AS span_start, CAST(1 + k * 40 + 10 + p_size % 25 AS BIGINT) AS span_end
@@ -78,7 +81,7 @@ CURRENT = f"SELECT * FROM ({FINDINGS}) x WHERE CAST(app_no AS INT) % 3 <> 0"
 BASELINE = f"SELECT * FROM ({FINDINGS}) x WHERE CAST(app_no AS INT) % 3 <> 1"
 
 TEXTS = {
-    "findings": FINDINGS, "apps": APPS, "call_edges": EDGES, "spans": SPANS, "gates": GATES, "vectors": VECTORS, "current_findings": CURRENT, "baseline_findings": BASELINE,
+    "findings": FINDINGS, "apps": APPS, "call_edges": EDGES, "whole_call_edges": WHOLE_EDGES, "spans": SPANS, "gates": GATES, "vectors": VECTORS, "current_findings": CURRENT, "baseline_findings": BASELINE,
 }
 _SOURCES = ("lineitem", "customer", "part", "orders", "supplier", "nation", "events")
 

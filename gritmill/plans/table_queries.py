@@ -283,12 +283,16 @@ def _seeds(e):
     return e.where(F.col("src").startswith("src/m0.py") | F.col("src").startswith("src/m5.py")).select(F.col("src").alias("node")).distinct()
 
 
-def g(name: str, body: str | None, recursive: bool = False):
+def g(name: str, body: str | None, recursive: bool = False, whole: bool = True):
+    """The query over the edges its SQL twin has and, as name_whole, over those of all lineitem rows."""
+
     def add(f):
         sql = sql_with("call_edges", body) if body else None
         if sql and recursive:
             sql = sql.replace("WITH ", "WITH RECURSIVE ", 1)
         R.query(name, sql)(lambda spark, sf_dir: f(domain(spark, sf_dir, "call_edges")))
+        if whole:
+            R.query(f"{name}_whole")(lambda spark, sf_dir: f(domain(spark, sf_dir, "whole_call_edges")))
         return f
 
     return add
@@ -310,7 +314,7 @@ def _(e):
     return G.adjacency(e)
 
 
-@g("taint_paths", ", s AS (" + _SEEDS + "), k AS (SELECT DISTINCT dst AS node FROM call_edges WHERE dst LIKE '%::f1%'), p1 AS (SELECT [s.node, e.dst] AS path, e.dst AS tip FROM s JOIN call_edges e ON e.src = s.node AND e.dst <> s.node), p2 AS (SELECT list_append(path, e.dst) AS path, e.dst AS tip FROM p1 JOIN call_edges e ON e.src = p1.tip AND NOT list_contains(path, e.dst)) SELECT DISTINCT array_to_string(path, '>') AS path FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2) a WHERE tip IN (SELECT node FROM k)")
+@g("taint_paths", ", s AS (" + _SEEDS + "), k AS (SELECT DISTINCT dst AS node FROM call_edges WHERE dst LIKE '%::f1%'), p1 AS (SELECT [s.node, e.dst] AS path, e.dst AS tip FROM s JOIN call_edges e ON e.src = s.node AND e.dst <> s.node), p2 AS (SELECT list_append(path, e.dst) AS path, e.dst AS tip FROM p1 JOIN call_edges e ON e.src = p1.tip AND NOT list_contains(path, e.dst)) SELECT DISTINCT array_to_string(path, '>') AS path FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2) a WHERE tip IN (SELECT node FROM k)", whole=False)
 def _(e):
     sinks = e.where(F.col("dst").contains("::f1")).select(F.col("dst").alias("node")).distinct()
     return G.paths_to_sinks(e, _seeds(e), sinks, 2).select(F.array_join("path", ">").alias("path"))
@@ -335,9 +339,9 @@ def _(s):
 
 R.query("callee_resolution")(
     lambda spark, sf_dir: G.resolve_callees(
-        domain(spark, sf_dir, "call_edges").select(
+        domain(spark, sf_dir, "whole_call_edges").select(
             F.concat_ws(">", "src", "dst").alias("call_id"), F.split_part("src", F.lit("::"), F.lit(1)).alias("caller_file"), F.split_part("dst", F.lit("::"), F.lit(2)).alias("name")
         ),
-        domain(spark, sf_dir, "call_edges").select(F.split_part("dst", F.lit("::"), F.lit(1)).alias("def_file"), F.split_part("dst", F.lit("::"), F.lit(2)).alias("name")).distinct(),
+        domain(spark, sf_dir, "whole_call_edges").select(F.split_part("dst", F.lit("::"), F.lit(1)).alias("def_file"), F.split_part("dst", F.lit("::"), F.lit(2)).alias("name")).distinct(),
     )
 )
