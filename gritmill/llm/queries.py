@@ -8,7 +8,7 @@ from gritmill.llm.bpe import encode
 from gritmill.llm.fusion import claims, survivors, true_values, without_boilerplate
 from gritmill.llm.handwritten import not_handwritten, with_origin
 from gritmill.llm.packing import packed
-from gritmill.llm.secrets import redacted, secret_cases
+from gritmill.llm.secrets import redacted_excerpts, secret_cases
 from gritmill.llm.stuffing import page_shapes, stuffed_pages
 from gritmill.plans.registry import Registry
 from gritmill.tables import table, written
@@ -28,8 +28,8 @@ def p1_found(spark, sf_dir):
 
 @R.query("p1_redacted")
 def p1_redacted(spark, sf_dir):
-    """Every sink with its excerpt masked."""
-    return redacted(table(spark, sf_dir, "sinks").select("sink_id", "snippet").distinct(), "snippet")
+    """Every excerpt of evidence, sinks and cited operations, masked."""
+    return redacted_excerpts(table(spark, sf_dir, "validation_raw"), table(spark, sf_dir, "sinks"), table(spark, sf_dir, "cited_operations"))
 
 
 @R.query("p2_found")

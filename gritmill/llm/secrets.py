@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gritmill.operators.nested import SCORE, canonical_key, visit, whole_document
+from gritmill.operators.nested import SCORE, _sound, canonical_key, visit, whole_document
 
 MASK = "[REDACTED]"
 
@@ -517,9 +517,13 @@ _CASE = pa.schema(
 )
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [()] * len(_CASE)
-    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _CASE, strict=True)], schema=_CASE)
+MASKED_ROW = "snippet_kind string, record_id bigint, score_pos int, item_pos int, evidence_pos int, snippet string"
+_MASKED_ROW = pa.schema([*list(_CASE)[:-1], ("snippet", pa.string())])
+
+
+def _batch(rows: list[tuple], schema: pa.Schema = _CASE) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(_sound(list(c)), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def _excerpts(kind: str):
@@ -531,15 +535,31 @@ def _excerpts(kind: str):
     return run
 
 
+def _held(b: pa.RecordBatch) -> Iterator[tuple]:
+    """Record, position path and snippet of every piece of evidence of a batch of payloads."""
+    for rid, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for tag, path, _, _, own in visit(whole_document(payload), (SCORE,)):
+            if tag == "evidence":
+                yield rid, path, next((v for k, v in own.items() if canonical_key(k) == "snippet" and isinstance(v, str)), None)
+
+
 def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = []
-        for rid, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            for tag, path, _, _, own in visit(whole_document(payload), (SCORE,)):
-                if tag == "evidence":
-                    snippet = next((v for k, v in own.items() if canonical_key(k) == "snippet" and isinstance(v, str)), None)
-                    rows += [("evidence", rid, *path, n) for n in secret_lines(snippet)]
-        yield _batch(rows)
+        yield _batch([("evidence", rid, *path, n) for rid, path, snippet in _held(b) for n in secret_lines(snippet)])
+
+
+def _masked_excerpts(kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            yield _batch([(kind, i, -1, -1, -1, redact(t)) for i, t in zip(ids, texts, strict=True)], _MASKED_ROW)
+
+    return run
+
+
+def _masked_evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield _batch([("evidence", rid, *path, redact(snippet)) for rid, path, snippet in _held(b)], _MASKED_ROW)
 
 
 def secret_cases(validation: DataFrame, sinks: DataFrame, cited: DataFrame) -> DataFrame:
@@ -550,6 +570,14 @@ def secret_cases(validation: DataFrame, sinks: DataFrame, cited: DataFrame) -> D
     return found.distinct()
 
 
+def redacted_excerpts(validation: DataFrame, sinks: DataFrame, cited: DataFrame) -> DataFrame:
+    """Every excerpt of all three kinds with its secrets masked, once; keyed as ``secret_cases``. Null and empty ones stay as they are."""
+    found = validation.select("record_id", F.col("payload")).mapInArrow(_masked_evidence, MASKED_ROW)
+    for df, key, kind in ((sinks, "sink_id", "sink"), (cited, "op_id", "cited_operation")):
+        found = found.unionByName(df.select(F.col(key).cast("bigint"), "snippet").mapInArrow(_masked_excerpts(kind), MASKED_ROW))
+    return found.distinct()
+
+
 def redacted(df: DataFrame, column: str) -> DataFrame:
     """The frame with the secrets of one text column masked."""
 
