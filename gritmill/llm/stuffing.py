@@ -2,9 +2,10 @@
 
 Every line of a page is reduced to a *shape*: buckets of its words, capitals,
 separators, links and tags, and how it ends. Lines of one shape are grouped, and
-the page is flagged when groups of few non-sentence shapes hold most of it.
-Words without sentence structure only count when they come again and again or
-when one shape of them fills the page, so a short remark or a heading never does.
+the page is flagged when the ``FEW_SHAPES`` largest groups of non-sentence shapes
+hold most of it. Words without sentence structure only count when they come again
+and again; less repetition is enough when one shape of them fills the page, but
+some is always needed, so a short remark or a heading never counts.
 
 Defined results
 ---------------
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 MIN_CHARS = 30
 SPAM_SHARE = 0.5
 REPEAT = 2.0
+# Shape groups that may hold the page together.
+FEW_SHAPES = 6
 
 _LINK = re.compile(
     r"<a\s[^>]*href=[^>]*>.*?</a>|<loc>.*?</loc>|\[[^\]\n]*\]\([^)\s]*\)|(?:https?|ftp)://[^\s,;|)>\]\"'，、。]+|www\.[^\s,;|)>\]\"'，、。]+"
@@ -113,7 +116,7 @@ _NEVER = frozenset(("sentence", "log", "code", "table", "heading", "blank"))
 
 
 def spam_share(text: str | None, decide: bool = False) -> tuple[float, int, float]:
-    """Share of the text in dominant non-sentence shapes, number of those shapes, repetition of words.
+    """Share of the text in the few largest groups of non-sentence shapes, number of all of those groups, repetition of words.
 
     With ``decide`` it stops with share 0 as soon as lines that never count hold
     half of the text: then no rest of it could make the share more than a half.
@@ -156,7 +159,8 @@ def spam_share(text: str | None, decide: bool = False) -> tuple[float, int, floa
     repeat = n / len(words) if words else 0.0
     loose_lines = sum(v for (k, _), v in lines.items() if k == "words")
     counted = {"link", "nav", "tag"}
-    if n >= 10 and (repeat >= REPEAT or loose_lines >= 5 and repeat >= 1.3):
+    one = max((v for (k, _), v in size.items() if k == "words"), default=0) > SPAM_SHARE * total
+    if n >= 10 and (repeat >= REPEAT or loose_lines >= 5 and repeat >= 1.3 or one and n >= 20 and repeat >= 1.5):
         counted.add("words")
     if n >= 10 and repeat >= 1.25:
         counted.add("list")
@@ -164,15 +168,14 @@ def spam_share(text: str | None, decide: bool = False) -> tuple[float, int, floa
     for (k, f), v in size.items():
         if k in counted:
             forms[k, f] += v
-    return sum(forms.values()) / total, len(forms), repeat
+    return sum(v for _, v in forms.most_common(FEW_SHAPES)) / total, len(forms), repeat
 
 
 def stuffed(text: str | None) -> bool:
     """Whether a page consists mainly of keywords, links or tags."""
     if not text or len(text) < MIN_CHARS:
         return False
-    share, forms, _ = spam_share(text, decide=True)
-    return share > SPAM_SHARE and forms > 0
+    return spam_share(text, decide=True)[0] > SPAM_SHARE
 
 
 def stuffed_pages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
