@@ -42,6 +42,7 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 _NUM = re.compile(r"\d+(?:[.,:]\d+)*")
 _SEP = re.compile(r"[|;,•·»›/，、；｜]|\s[-–—>/]\s|>>|::")
+_MENU_SEP = re.compile(r"[|·•»›｜]|\s[-–—>/]\s|>>|::")
 _END = re.compile(r"[.!?。！？…][\"'”’)\]]*$|[。！？]")
 _SPLIT = re.compile(r"(?<=[.!?])\s+(?=[\"“'(\[]?[A-ZÀ-ÞА-ЯЁ])|(?<=[。！？])")
 _STAMP = re.compile(r"^\W*(?:\d{4}-\d\d-\d\d[T ]\d\d:|\d\d:\d\d:\d\d|\[\d{4}-|[A-Z][a-z]{2} \d+ \d\d:)")
@@ -105,8 +106,12 @@ def shape(line: str) -> tuple[str, tuple, list[str]]:
     if _JOINED.match(bare):
         return "words", form(), re.split(r"[\W_]+", bare.strip())
     code = bool(_CODE.search(bare))
-    if not ended and not code and seps >= 6 and 6 * seps >= n:
-        return "list", form(), words
+    if not ended and seps >= 6 and 6 * seps >= n:
+        # Menus: short items between marks that no enumeration in prose has; rows of a table begin with theirs.
+        if 2 * len(_MENU_SEP.findall(bare)) >= n and line.strip()[:1] != "|" and not (code and _CODE.search(bare.replace(" > ", " / "))):
+            return "nav", form(), words
+        if not code:
+            return "list", form(), words
     if code or _FIELD.match(line):
         return "code", (), words
     return ("words", form(), words) if n else ("blank", (), words)
