@@ -320,6 +320,17 @@ def _(e):
     return G.paths_to_sinks(e, _seeds(e), sinks, 2).select(F.array_join("path", ">").alias("path"))
 
 
+def _taint_whole(spark, sf_dir):
+    """Over all edges, 3 hops and 5 for high risk; the projection calls a node of odd number high risk."""
+    e = domain(spark, sf_dir, "whole_call_edges")
+    risk = F.col("node").rlike("[13579]$").alias("high_risk")
+    sinks = e.where(F.col("dst").contains("::f1")).select(F.col("dst").alias("node")).distinct()
+    return G.shortest_taint_paths(e, _seeds(e).select("node", risk), sinks.select("node", risk)).select(F.array_join("path", ">").alias("path"))
+
+
+R.query("taint_paths_whole")(_taint_whole)
+
+
 @g("neighborhood", "SELECT src, array_to_string(list_slice(list_sort(list(DISTINCT dst)), 1, 3), ',') AS first_callees FROM call_edges GROUP BY 1")
 def _(e):
     return e.groupBy("src").agg(F.array_join(F.slice(F.array_sort(F.collect_set("dst")), 1, 3), ",").alias("first_callees"))
