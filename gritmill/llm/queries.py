@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gritmill.llm.bpe import encode
-from gritmill.llm.fusion import claims, survivors, true_values, without_boilerplate
+from gritmill.llm.fusion import survivors, true_values
 from gritmill.llm.handwritten import not_handwritten, with_origin
 from gritmill.llm.packing import packed
 from gritmill.llm.secrets import redacted_excerpts, secret_cases
 from gritmill.llm.stuffing import page_shapes, stuffed_pages
 from gritmill.plans.registry import Registry
-from gritmill.tables import table, written
+from gritmill.tables import table
 
 R = Registry()
 
@@ -34,14 +34,15 @@ def p1_redacted(spark, sf_dir):
 
 @R.query("p2_found")
 def p2_found(spark, sf_dir):
+    """The rows the model lets survive, less those that an exact check finds beaten in completeness, trust or time."""
     found = survivors(table(spark, sf_dir, "thirdparty_findings"), table(spark, sf_dir, "feed_trust"))
-    return found.where(F.col("basis") == "dominant").select("dup_group", "field_name", "row_id")
+    return found.where("dominates").select("dup_group", "field_name", "row_id")
 
 
 @R.query("p2_true_values")
 def p2_true_values(spark, sf_dir):
-    c = without_boilerplate(written(claims(table(spark, sf_dir, "thirdparty_findings"), table(spark, sf_dir, "feed_trust")), "claims"))
-    return true_values(c).select("dup_group", "field_name", "value", F.round("truth", 6).alias("truth"))
+    found = true_values(table(spark, sf_dir, "thirdparty_findings"), table(spark, sf_dir, "feed_trust"))
+    return found.select("dup_group", "field_name", "value", F.round("truth", 6).alias("truth"))
 
 
 @R.query("p4_found")
