@@ -1,10 +1,15 @@
 """Credentials embedded in source code and configuration.
 
-The operator reads excerpts of code lexically: a scanner splits every line into
-identifiers, operators, quoted literals and bare words, literals that are
-assigned or passed to a credential-named identifier are judged, and only the
-*contents* of a guilty literal are masked, so quotes, escapes, indentation,
-viewer line numbers and diff marks stay as they were.
+The operator reads excerpts of code lexically: a scanner splits lines into
+identifiers, operators, quoted literals (over several lines too) and bare words,
+literals that are assigned or passed to a credential-named identifier are judged,
+and only the *contents* of a guilty literal are masked, so quotes, indentation,
+viewer line numbers and diff marks stay as they were. The mask is one plain word,
+which is as good a scalar, URL part or shell word as what it stands for.
+
+An automaton over the whole excerpt first finds the lines that hold any part of a
+credential name, of an issued shape or of a header; no rule can say anything about
+the others, unless a literal, a key or a block that began above goes on in them.
 
 Defined results
 ---------------
@@ -21,6 +26,7 @@ import binascii
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,7 +34,7 @@ from pyspark.sql import functions as F
 
 from gritmill.operators.nested import SCORE, _sound, canonical_key, visit, whole_document
 
-MASK = "[REDACTED]"
+MASK = "REDACTED"
 
 # Words that make an identifier a credential name, in the
 # languages the texts use.
@@ -78,22 +84,27 @@ _BEGIN = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY(?: BLOCK)?-----")
 _END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PREFIX = re.compile(r"^(?:[ \t]*\d+[ \t]*[|:│][ \t]?|[+\-](?![+\-]{2}) ?)?")
 
-_PLACEHOLDER = re.compile(
-    r"(?i)^(?:|x+|\*+|\.+|-+|_+|#+|\?+|0+|•+|<.*>|\[.*\]|\{.*\}|\$.*|%.*%|@[\w.:]+@?|env:.*|vault:.*|ref[:+].*|!.*|none|null|nil|true|false|undefined|"
-    r"empty|todo|tbd|fixme|n/?a|your.*|my[-_ ].*|change.?(?:me|it|this).*|replace.?(?:me|this|with).*|enter.*|insert.*|place.?holder.*|"
-    r"(?:an?|the|some)[-_ ].*|dummy.*|fake.*|sample.*|example.*|redacted.*|removed|masked|hidden|secret|password|passwd|token|api.?key|"
-    r"key|pass|pwd|string|str|text|value|foo|bar|bearer|basic|hunter2?|put.*here|.*[-_ ]here|<?redacted>?|required|optional|int|bool|"
-    r"password123|vault|os|self|this|request|config|settings|secrets?)$"
+# Values without any content of their own, or that refer to another place.
+_BLANK = re.compile(r"(?i)^(?:x+|[*.\-_#?0•]*|<.*>|\[.*\]|\{.*\}|\$.*|%.*%|@[\w.:]+@?|env:.*|vault:.*|ref[:+].*|!.*)$")
+# Words of which placeholders are made; a value of nothing else is one.
+_PLACEHOLDER_WORDS = frozenset(
+    "a access add an api apikey app auth basic bearer blank bool change changeme changeit client credential credentials db config default dummy empty "
+    "enter env environment example examples fake false fill fixme foo from generate generated get goes bar baz here hidden hunter id in insert int is it "
+    "key keys masked me must my n name nil none not null of optional or os pass passphrase password passwd pin place placeholder private put pwd redacted "
+    "ref removed replace replaceme request required sample secret secrets self service set settings some something str string tbd test text that the this "
+    "to todo token tokens true undefined unset use user username value variable vault with x xx xxx your yours".split()
 )
-_MASKED = re.compile(r"(?i)x{6,}|\*{4,}|•{3,}|\.{4,}|redacted|example|placeholder|dummy")
+_COMMON_NUMBERS = frozenset(("", "1", "12", "123", "1234"))
+_MASKED = re.compile(r"(?i)x{6,}|\*{4,}|•{3,}|\.{4,}|redacted")
+_SAMPLE = re.compile(r"(?i)x{6,}|\*{4,}|example|placeholder|dummy|redacted")
 _TEMPLATE = re.compile(r"^(?:\$\{?[A-Za-z_]|\{\{|%[A-Za-z_(]|<[%?a-zA-Z]|#\{|\$\(|@\{|!\w)")
 _VERSION = re.compile(r"^[~^v]?\d+(?:\.\d+)*$")
 _WORD = re.compile(r"^[A-Za-z_]+$")
 
 # One lexical token: a quoted literal, an identifier, an operator or a bare word.
 _LEX = re.compile(
-    r"(?P<str>(?P<q>\"\"\"|'''|[\"'`])(?P<body>(?:\\.|(?!(?P=q))[^\n])*)(?P=q))"
-    r"|(?P<open>[\"'`](?P<obody>[^\n]*))"
+    r"(?P<str>(?P<q>\"\"\"|'''|\"(?!\"\")|'(?!'')|`)(?P<body>(?:\\.|(?!(?P=q))[^\n])*)(?P=q))"
+    r"|(?P<open>(?P<oq>\"\"\"|'''|[\"'`])(?P<obody>[^\n]*))"
     r"|(?P<id>[^\W\d][\w]*(?:[.\-][^\W\d][\w]*)*)"
     r"|(?P<op>\|\||\?\?|:=|=>|==|!=|<=|>=|->|::|[=:(){}\[\],;+.&|?<>@!*/%\\$~^\-#])"
     r"|(?P<num>\d[\w.]*)"
@@ -124,10 +135,30 @@ def _encoded_secret(value: str) -> bool:
         return False
 
 
-def usable_literal(value: str) -> bool:
+def placeholder(value: str) -> bool:
+    """Whether a whole value stands for one that is to come, or for one kept elsewhere."""
+    if _BLANK.match(value):
+        return True
+    letters = re.sub(r"([a-z])([A-Z])", r"\1 \2", value)
+    words = [w for w in re.split(r"[^a-z]+", letters.lower()) if w]
+    return bool(words) and all(w in _PLACEHOLDER_WORDS for w in words) and re.sub(r"\D", "", value) in _COMMON_NUMBERS
+
+
+# Names whose values are digits only, or several words.
+_PIN_NAME = re.compile(r"(?:^|_)(?:pin|passcode|otp|pin_?code)$")
+_PHRASE_NAME = re.compile(r"(?:^|_)(?:passphrase|pass_phrase|mnemonic|seed_phrase)$")
+
+
+def usable_literal(value: str, name: str = "") -> bool:
     """Whether a literal given to a credential name would grant access."""
     value = value.strip()
-    if len(value) < 5 or _PLACEHOLDER.match(value) or _MASKED.search(value) or _TEMPLATE.match(value) or _VERSION.match(value):
+    if name and (value.isdigit() or " " in value):
+        joined = "_".join(_words(name))
+        if value.isdigit() and len(value) >= 4 and _PIN_NAME.search(joined):
+            return len(set(value)) > 1
+        if " " in value and _PHRASE_NAME.search(joined):
+            return len(value.split()) >= 3 and not placeholder(value) and not _TEMPLATE.search(value) and value[-1:] not in ".?:"
+    if len(value) < 5 or placeholder(value) or _MASKED.search(value) or _TEMPLATE.match(value) or _VERSION.match(value):
         return False
     if _ISSUED_START.match(value):  # also the first part of one that is put together
         return True
@@ -137,8 +168,8 @@ def usable_literal(value: str) -> bool:
         return False
     if value.count(",") >= 2 or re.match(r"^[\w.]+\(.*\)?$", value):
         return False
-    if _WORD.match(value) and not re.search(r"[a-z][A-Z]{2}|[A-Z]{2}[a-z]", value) and len(value) < 16:
-        return False
+    if not name and _WORD.match(value) and not re.search(r"[a-z][A-Z]{2}|[A-Z]{2}[a-z]", value):
+        return False  # a word alone grants access only if it is the quoted value of a name
     if re.match(r"^[A-Za-z_][\w.]*\[", value):
         return False
     if "." in value and re.match(r"^[a-z_]+(?:\.[a-z_]+)+$", value):
@@ -150,7 +181,7 @@ def usable_literal(value: str) -> bool:
 
 def _issued_ok(value: str) -> bool:
     body = re.sub(r"^[A-Za-z]+[_\-.]", "", value)
-    return not _MASKED.search(value) and len(set(body)) >= 6
+    return not _SAMPLE.search(value) and len(set(body)) >= 6
 
 
 def _lines(text: str) -> Iterator[tuple[int, int]]:
@@ -181,7 +212,7 @@ def _in_text(text: str, base: int, out: list[tuple[int, int]]) -> None:
 
 def _password(value: str) -> bool:
     return len(value) >= 4 and not (
-        _PLACEHOLDER.match(value) or _MASKED.search(value) or _TEMPLATE.match(value) or "${" in value or "{{" in value or "(" in value
+        placeholder(value) or _MASKED.search(value) or _TEMPLATE.match(value) or "${" in value or "{{" in value or "(" in value
     )
 
 
@@ -225,10 +256,10 @@ def _headers(line: str, base: int, out: list[tuple[int, int]]) -> None:
 
 
 class _Token:
-    __slots__ = ("kind", "text", "start", "end", "body")
+    __slots__ = ("kind", "text", "start", "end", "body", "open")
 
-    def __init__(self, kind: str, text: str, start: int, end: int, body: tuple[int, int] | None):
-        self.kind, self.text, self.start, self.end, self.body = kind, text, start, end, body
+    def __init__(self, kind: str, text: str, start: int, end: int, body: tuple[int, int] | None, open: str = ""):  # noqa: A002
+        self.kind, self.text, self.start, self.end, self.body, self.open = kind, text, start, end, body, open
 
 
 def _tokens(line: str, base: int) -> list[_Token]:
@@ -238,7 +269,7 @@ def _tokens(line: str, base: int) -> list[_Token]:
         if m["str"] is not None:
             found.append(_Token("str", m["body"], base + m.start(), base + m.end(), (base + m.start("body"), base + m.end("body"))))
         elif m["open"] is not None:
-            found.append(_Token("str", m["obody"], base + m.start(), base + m.end(), (base + m.start("obody"), base + m.end("obody"))))
+            found.append(_Token("str", m["obody"], base + m.start(), base + m.end(), (base + m.start("obody"), base + m.end("obody")), m["oq"]))
         elif m["id"] is not None:
             found.append(_Token("id", m["id"], base + m.start(), base + m.end(), None))
         elif m["op"] is not None:
@@ -258,11 +289,12 @@ _XML = re.compile(r"<([\w.:\-]+)[^>]*>([^<>]+)</\1>")
 _XML_ATTR = re.compile(r"(?i)(?:key|name)=[\"']([^\"']+)[\"'][^>]*?value=[\"']([^\"']+)[\"']")
 
 
-def _assigned(line: str, base: int, toks: list[_Token], out: list[tuple[int, int]]) -> _Token | None:
-    """Literals assigned or passed to credential names; the last one is returned."""
-    last = None
+def _assigned(line: str, base: int, toks: list[_Token], out: list[tuple[int, int]]) -> tuple[_Token | None, _Token | None, str]:
+    """Literals assigned or passed to credential names; the last one, and one that goes on in the next line with its name, are returned."""
+    last = goes_on = None
+    named = ""
     for i, t in enumerate(toks):
-        name = t.text if t.kind == "id" else t.text if t.kind == "str" and len(t.text) < 60 and re.match(r"^[\w.\-]+$", t.text) else ""
+        name = t.text if t.kind == "id" else t.text if t.kind == "str" and re.match(r"^[\w.\-]+$", t.text) else ""
         if not name or not credential_name(name):
             continue
         j, steps = i + 1, 0
@@ -304,22 +336,29 @@ def _assigned(line: str, base: int, toks: list[_Token], out: list[tuple[int, int
                 continue
             if v.kind == "str":
                 expr = line[toks[j].end - base : v.start - base]
-                if _usable_in(expr, v, passed, toks, k):
+                if v.open in ('"""', "'''", "`") and k == len(toks) - 1:
+                    goes_on, named = v, name
+                elif _usable_in(expr, v, passed, name):
                     out.append(v.body)
                     last = v
                     continue
                 if passed and op.text == "(":
                     continue
-    return last
+    return last, goes_on, named
+
+
+# Names whose values people choose, plain words among them.
+_CHOSEN_NAME = re.compile(r"(?i)pass|pwd|pw$|secret|kennwort|senha|contrase|парол|密码|密碼|口令|パスワード|pin$|phrase|mnemonic")
 
 
-def _usable_in(expr: str, v: _Token, passed: bool, toks: list[_Token], k: int) -> bool:
+def _usable_in(expr: str, v: _Token, passed: bool, name: str) -> bool:
     value = v.text
+    name = name if _CHOSEN_NAME.search(name) else ""
     if _DECODERS.search(expr):
         return _encoded_secret(value) or usable_literal(value)
     e = expr.strip()
     if e in ("", "(", "f", "b", "r", "u", "@", "new String(", "str(", "String(", "[]byte(", "[]rune(") or re.search(r"(?:\|\||\?\?|\bor|:)\s*\(?$", e) or e.endswith("+") or e.endswith("."):
-        return usable_literal(value)
+        return usable_literal(value, name)
     if re.search(r"(?i)(?:getenv|environ\.get|get_?or|fetch|default|lookup|config|get)\b[^)]*,\s*$", e):
         return usable_literal(value)
     if re.search(r"(?i)\b(?:setpassword|setsecret|new\s+\w*(?:credential|secret|password|key)\w*|secretstring|bytes|encode|buffer\.from|hash|hmac)\W*\($", e):
@@ -342,7 +381,7 @@ _COMMENT = re.compile(r"(?:^|\s)(?:#|//|--|/\*|<!--|;|%)\s*(.*)$")
 # How people write a credential into a remark.
 _REMARK = re.compile(
     r"(?i)\b(?:passwords?|passwort|kennwort|senha|contrase(?:n|ñ)a|mot de passe|pw|pwd|pass|secret|token|api key|key|login|creds?|credentials?|rotate|pin)\b"
-    r"[^\n]{0,40}?(?:\b(?:was|is|ist|token|to)\s+|[:=/]\s*)([^\s\"'`(),;]{5,})"
+    r"[^\n]*?(?:\b(?:was|is|ist|token|to)\s+|[:=/]\s*)([^\s\"'`(),;]{5,})"
 )
 # The shapes of words with digits or marks that people choose.
 _CHOSEN = re.compile(r"^(?=.*\d)(?:[A-Za-z]+(?:-[a-z]+)+-\d+|[A-Za-z]+[!?@#$%&*^_][\w!?]{1,}|[A-Za-z]+\d{2,}[A-Za-z]*[!?#%*&@$]?|\w*[a-z]\d[a-z]\w*[!?_#%-]?\d*|[\w+/=\-.!?@#$%&*]{12,})$")
@@ -392,16 +431,75 @@ def _pairs(line: str, base: int, name: str, out: list[tuple[int, int]]) -> None:
 _CONT = re.compile(r"(?:\+|\.|\\|&|\.\.|<<|~)\s*$")
 
 
+# Parts that every credential name, issued shape, header, flag and remark has one of, in lower case.
+_TELLING = (
+    "pass kennwort contrase clave senha парол 密码 密碼 口令 パスワード pw secret token cred key handshake bearer auth pin otp salt jwt vault login rotate "
+    "cookie session sid sig= mnemonic phrase -u --user @ begin akia asia ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ glpat- xox sk_ pk_ rk_ aiza sg. npm_ dop_v1_ eyj "
+    "sk0 sk1 sk2 sk3 sk4 sk5 sk6 sk7 sk8 sk9 ska skb skc skd ske skf"
+).split() + [" -p", " -p "]
+
+
+def _automaton() -> ahocorasick.Automaton:
+    a = ahocorasick.Automaton()
+    for part in _TELLING:
+        a.add_word(part, len(part))
+    a.make_automaton()
+    return a
+
+
+_PARTS = _automaton()
+
+
+def _telling_ends(text: str) -> list[int] | None:
+    """Places of telling parts, ascending; None if lower case has other places."""
+    low = text.lower()
+    if len(low) != len(text):
+        return None
+    return [end for end, _ in _PARTS.iter(low)]
+
+
+def _literal_lines(text: str, lines: list[tuple[int, int]], n: int, first: _Token, name: str) -> tuple[int, list[tuple[int, int]]]:
+    """The spans of a literal that begins at the end of line n and goes on, and the number of the line it ends in; none if it isn't usable."""
+    quote, spans, at = first.open, [first.body] if first.text.strip() else [], n + 1
+    while at < len(lines):
+        a, b = lines[at]
+        a += _PREFIX.match(text[a:b]).end()
+        end = text.find(quote, a, b)
+        stop = b if end < 0 else end
+        held = text[a:stop]
+        if held.strip():
+            lead = len(held) - len(held.lstrip())
+            spans.append((a + lead, a + len(held.rstrip())))
+        if end >= 0:
+            words = [text[x:y].strip() for x, y in spans]
+            usable = words and (all(re.match(r"^\S{4,}$", w) for w in words) and usable_literal("".join(words)) or usable_literal(" ".join(words), name))
+            return (at, spans) if usable else (n, [])
+        at += 1
+    return n, []
+
+
 def find_secrets(text: str | None) -> list[tuple[int, int]]:
     """Character spans of literal secrets in an excerpt, in order, without overlap."""
     if not text:
         return []
+    ends = _telling_ends(text)
+    if ends == []:
+        return []
     out: list[tuple[int, int]] = []
     lines = list(_lines(text))
     inside = cont = wrapped = False
-    pair_name, pair_line = "", -9
-    block_indent, block_seen = -1, False
+    pair_name, pair_indent = "", 0
+    block_indent = -1
+    literal_end, told = -1, 0
     for n, (a, b) in enumerate(lines):
+        if ends is not None:
+            while told < len(ends) and ends[told] < a:
+                told += 1
+            telling = told < len(ends) and ends[told] < b
+            if not (telling or inside or cont or pair_name or block_indent >= 0):
+                continue
+        if n <= literal_end:
+            continue
         raw = text[a:b]
         skip = _PREFIX.match(raw).end()
         line, base = raw[skip:], a + skip
@@ -427,8 +525,11 @@ def find_secrets(text: str | None) -> list[tuple[int, int]]:
         if not line.strip():
             continue
         named = _PAIR_NAME.match(line) or _XML_NAME.search(line)
+        indent = len(line) - len(line.lstrip())
         if named:
-            pair_name, pair_line = named[1], n
+            pair_name, pair_indent = named[1], indent
+        elif pair_name and indent < pair_indent and not line.lstrip().startswith(("#", "//", "--", "<!--")):
+            pair_name = ""  # the object that was named has ended
         found: list[tuple[int, int]] = []
         toks = _tokens(line, base)
         if cont:
@@ -446,8 +547,11 @@ def find_secrets(text: str | None) -> list[tuple[int, int]]:
                 continue
         _in_text(line, base, found)
         _headers(line, base, found)
-        last = _assigned(line, base, toks, found)
-        _pairs(line, base, pair_name if pair_line < n <= pair_line + 3 else "", found)
+        last, goes_on, name = _assigned(line, base, toks, found)
+        if goes_on:
+            literal_end, spans = _literal_lines(text, lines, n, goes_on, name if _CHOSEN_NAME.search(name) else "")
+            found += spans
+        _pairs(line, base, "" if named else pair_name, found)
         if "#" in line or "//" in line or "--" in line or "/*" in line or ";" in line:
             _remarks(line, base, found)
         bare = _BARE_VALUE.match(line)

@@ -55,12 +55,12 @@ def test_model_prefers_what_good_feeds_agree_on(spark):
 
 
 def quarrels(groups: int) -> list[tuple]:
-    """The newest row of each group is from the feed nobody agrees with; an older, more trusted feed and another agree."""
+    """The most trusted feed stands alone with an old value, two others agree on a newer one."""
     rows = []
     for g in range(groups):
         rows += [
-            (g * 4, g, "live", "snyk", None, "79", None, None, T), (g * 4 + 1, g, "file", "snyk", None, "79", None, None, T),
-            (g * 4 + 2, g, "mail", "snyk", None, str(100 + g), None, None, T.replace(day=3)), (g * 4 + 3, g, "live", "snyk", None, "79", None, None, T),
+            (g * 3, g, "live", "snyk", None, str(100 + g), None, None, T), (g * 3 + 1, g, "file", "snyk", None, "79", None, None, T.replace(day=2)),
+            (g * 3 + 2, g, "mail", "snyk", None, "79", None, None, T.replace(day=3)),
         ]
     return rows
 
@@ -68,11 +68,10 @@ def quarrels(groups: int) -> list[tuple]:
 def test_the_model_decides(spark, monkeypatch):
     df = frame(spark, quarrels(60))
     rows = lambda: {r.dup_group: r.row_id for r in survivors(df, trust(spark)).where("field_name = 'cwe'").collect()}
-    assert rows() == {g: g * 4 for g in range(60)}
-    true = {r.value for r in true_values(df, trust(spark)).where("field_name = 'cwe'").collect()}
-    assert "79" in true
+    assert rows() == {g: g * 3 + 2 for g in range(60)}
+    assert "79" in {r.value for r in true_values(df, trust(spark)).where("field_name = 'cwe'").collect()}
     monkeypatch.setattr(TruthModel, "truth", lambda self: F.lit(0.5))
-    assert rows() != {g: g * 4 for g in range(60)}
+    assert rows() == {g: g * 3 for g in range(60)}
 
 
 def test_dominant_rows_survive_what_feeds_agree_on(spark):

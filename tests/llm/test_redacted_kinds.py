@@ -16,9 +16,9 @@ def test_all_three_kinds_are_masked(spark, tmp_path):
     got = sorted((tuple(r) for r in R.queries["p1_redacted"](spark, str(tmp_path)).collect()), key=str)
     assert got == sorted(
         [
-            ("evidence", 1, 0, 0, 0, 'a\npassword = "[REDACTED]"'), ("evidence", 1, 0, 0, 1, None), ("evidence", 1, 0, 0, 2, "x = 1 " + "\ufffd" * 3),
-            ("sink", 3, -1, -1, -1, 'pwd = "[REDACTED]"'), ("sink", 4, -1, -1, -1, None), ("sink", 5, -1, -1, -1, ""),
-            ("cited_operation", 6, -1, -1, -1, 'token = "[REDACTED]"'), ("cited_operation", 7, -1, -1, -1, "x = y"),
+            ("evidence", 1, 0, 0, 0, 'a\npassword = "REDACTED"'), ("evidence", 1, 0, 0, 1, None), ("evidence", 1, 0, 0, 2, "x = 1 " + "\ufffd" * 3),
+            ("sink", 3, -1, -1, -1, 'pwd = "REDACTED"'), ("sink", 4, -1, -1, -1, None), ("sink", 5, -1, -1, -1, ""),
+            ("cited_operation", 6, -1, -1, -1, 'token = "REDACTED"'), ("cited_operation", 7, -1, -1, -1, "x = y"),
         ],
         key=str,
     )
