@@ -144,8 +144,8 @@ def claimed_values(c: DataFrame) -> DataFrame:
         F.max(F.struct(F.col("completeness").alias("c"), F.col("trust").alias("t"), when.alias("w"), (-F.col("row_id")).alias("r"))).alias("best"),
         F.max("completeness").alias("c"), F.max("trust").alias("t"), F.max(when).alias("w"),
     )
-    groups = c.groupBy("dup_group", "field_name").agg(
-        F.collect_set("feed").alias("feeds"), F.max("completeness").alias("gc"), F.max("trust").alias("gt"), F.max(when).alias("gw")
+    groups = values.groupBy("dup_group", "field_name").agg(
+        F.array_distinct(F.flatten(F.collect_set("speak"))).alias("feeds"), F.max("c").alias("gc"), F.max("t").alias("gt"), F.max("w").alias("gw")
     )
     facts = values.join(groups, ["dup_group", "field_name"])
     witness = [F.when(F.col(v) == F.col(g), F.lit(name)) for v, g, name in zip("ctw", ("gc", "gt", "gw"), WITNESSES, strict=True)]
