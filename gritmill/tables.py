@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_WRITTEN: list[tuple[object, str]] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def ensure_shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the one the cluster names, else (tests) an own one."""
+    """The folder for checkpoints: the one the cluster names, else, on one machine only (tests), an own one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if named:
@@ -23,6 +26,8 @@ def ensure_shared_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     own = tempfile.mkdtemp(prefix="gritmill-")
     sc.setCheckpointDir(own)
     return own
@@ -35,8 +40,24 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """The rows of a frame as a table in the shared folder, which outlives lost executors."""
+    """The rows of a frame as a table in the shared folder, which outlives lost executors; ``drop_written`` deletes it."""
     spark = df.sparkSession
     path = f"{ensure_shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not _WRITTEN:
+        atexit.register(drop_written)
+    _WRITTEN.append((spark.sparkContext._jvm, path))
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_written() -> int:
+    """Deletes the intermediate tables written so far, at the latest when the driver program ends; frames over them can't be read afterwards."""
+    dropped = 0
+    while _WRITTEN:
+        jvm, path = _WRITTEN.pop()
+        try:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            dropped += bool(p.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(p, True))
+        except Exception:  # noqa: BLE001, S110 - the session that wrote it is gone
+            pass
+    return dropped
