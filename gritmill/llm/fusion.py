@@ -135,7 +135,7 @@ def claims(findings: DataFrame, trust: DataFrame) -> DataFrame:
 def claimed_values(c: DataFrame) -> DataFrame:
     """One row per group, field and value: its best row and its pattern, the sources for it and the feeds beside it.
 
-    Three shuffles whatever the number of claims; the claims of a value and the values
+    Claims are read and reduced to values once, which are written; the claims of a value and the values
     of a group are reduced map-side to sets of feeds and maxima, so hot groups stay small.
     """
     when = F.coalesce("reported_at", F.lit("0001-01-01").cast("timestamp").cast(c.schema["reported_at"].dataType))
@@ -144,6 +144,7 @@ def claimed_values(c: DataFrame) -> DataFrame:
         F.max(F.struct(F.col("completeness").alias("c"), F.col("trust").alias("t"), when.alias("w"), (-F.col("row_id")).alias("r"))).alias("best"),
         F.max("completeness").alias("c"), F.max("trust").alias("t"), F.max(when).alias("w"),
     )
+    values = written(values, "values")
     groups = values.groupBy("dup_group", "field_name").agg(
         F.array_distinct(F.flatten(F.collect_set("speak"))).alias("feeds"), F.max("c").alias("gc"), F.max("t").alias("gt"), F.max("w").alias("gw")
     )
