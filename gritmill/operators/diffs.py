@@ -20,10 +20,20 @@ def introduced(after: DataFrame, before: DataFrame, columns: list[str]) -> DataF
     return after.select(*columns).exceptAll(before.select(*columns))
 
 
-def masked_diff(diff: Column) -> Column:
-    """A diff with the text of its lines masked; marks, headers and the number of lines stay."""
-    def one(line: Column) -> Column:
-        mark = F.regexp_extract(line, r"^(\+\+\+ |--- |@@[^@]*@@|[+\- ]?)", 1)
-        return F.concat(mark, M.masked(F.substring(line, F.length(mark) + 1, F.length(line)), validate=False))
+_HEAD = r"^(?:\+\+\+ |--- |@@[^@]*@@)"
+
 
-    return F.array_join(F.transform(F.split(diff, "\n"), one), "\n")
+def masked_diff(diff: Column) -> Column:
+    """A diff with the text of its lines masked; marks, headers and the number of lines stay. Lines of a private key are masked one by one."""
+
+    def one(state: Column, line: Column) -> Column:
+        begins, ends = line.rlike("-{5}BEGIN [A-Z ]*PRIVATE KEY-{5}"), line.rlike("-{5}END [A-Z ]*PRIVATE KEY-{5}")
+        mark = F.when(line.rlike(_HEAD), F.regexp_extract(line, _HEAD, 0)).otherwise(F.regexp_extract(line, r"^[+\- ]?", 0))
+        text = F.substring(line, F.length(mark) + 1, F.length(line))
+        shown = F.when(state["key"] | begins | ends, F.lit("[REDACTED-PRIVATE-KEY]")).otherwise(M.masked(text))
+        return F.struct(F.concat(state["lines"], F.array(F.concat(mark, shown))).alias("lines"), ((state["key"] | begins) & ~ends).alias("key"))
+
+    plain = F.array_join(F.transform(F.split(diff, "\n"), lambda line: one(F.struct(F.array().cast("array<string>").alias("lines"), F.lit(False).alias("key")), line)["lines"][0]), "\n")
+    start = F.struct(F.array().cast("array<string>").alias("lines"), F.lit(False).alias("key"))
+    keyed = F.aggregate(F.split(diff, "\n"), start, one, lambda s: F.array_join(s["lines"], "\n"))
+    return F.when(diff.rlike("PRIVATE KEY-{5}"), keyed).otherwise(plain)  # carrying the state along costs time by the square of the lines

@@ -11,45 +11,36 @@ from gritmill.functions import severity as S
 from gritmill.functions import text as X
 
 
-def mask_tree(df: DataFrame, validate: bool = True) -> DataFrame:
-    """All string leaves masked, in structs and arrays too."""
+def mask_tree(df: DataFrame) -> DataFrame:
+    """All string leaves masked, in structs, arrays and map values too."""
 
     def leaf(c: Column, kind: T.DataType) -> Column:
         if isinstance(kind, T.StringType):
-            return M.masked(c, validate)
-        if isinstance(kind, T.ArrayType) and _has_text(kind.elementType):
+            return M.masked(c)
+        if not _has_text(kind):
+            return c
+        if isinstance(kind, T.ArrayType):
             return F.transform(c, lambda x: leaf(x, kind.elementType))
-        if isinstance(kind, T.StructType) and _has_text(kind):
-            return F.when(c.isNotNull(), F.struct(*[leaf(c[f.name], f.dataType).alias(f.name) for f in kind]))
-        return c
+        if isinstance(kind, T.MapType):
+            return F.transform_values(c, lambda _, v: leaf(v, kind.valueType))
+        return F.when(c.isNotNull(), F.struct(*[leaf(c[f.name], f.dataType).alias(f.name) for f in kind]))
 
-    inside = lambda t: not isinstance(t, T.StringType)
-    # the validated masks run in Python and can't be inside a lambda, so nested leaves take the plain ones
-    return df.select(*[
-        (leaf(F.col(f"`{f.name}`"), f.dataType) if not inside(f.dataType) else _plain(F.col(f"`{f.name}`"), f.dataType)).alias(f.name) for f in df.schema
-    ])
-
-
-def _plain(c: Column, kind: T.DataType) -> Column:
-    if isinstance(kind, T.StringType):
-        return M.masked(c, validate=False)
-    if isinstance(kind, T.ArrayType) and _has_text(kind.elementType):
-        return F.transform(c, lambda x: _plain(x, kind.elementType))
-    if isinstance(kind, T.StructType) and _has_text(kind):
-        return F.when(c.isNotNull(), F.struct(*[_plain(c[f.name], f.dataType).alias(f.name) for f in kind]))
-    return c
+    return df.select(*[leaf(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema])
 
 
 def _has_text(kind: T.DataType) -> bool:
     if isinstance(kind, T.ArrayType):
         return _has_text(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return _has_text(kind.valueType)
     if isinstance(kind, T.StructType):
         return any(_has_text(f.dataType) for f in kind)
     return isinstance(kind, T.StringType)
 
 
 def sarif_results(f: DataFrame) -> DataFrame:
-    """One SARIF result per finding as JSON: rule, level, message, location, fingerprints."""
+    """One SARIF result per finding as JSON: rule, level, message, location, fingerprints; the free text is masked."""
+    f = f.withColumns({"title": M.masked(F.col("title")), "file": M.masked(F.col("file"))})
     region = F.struct(F.col("line_start").alias("startLine"), F.greatest("line_start", "line_end").alias("endLine"))
     place = F.struct(F.struct(F.struct(F.col("file").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
     prints = F.struct(
@@ -69,6 +60,7 @@ def with_absent(results: DataFrame, absent: DataFrame) -> DataFrame:
 
 def csv_lines(f: DataFrame, columns: list[str]) -> DataFrame:
     """Rows as CSV lines; only fields with a comma, quote or line end are quoted."""
+    f = mask_tree(f.select(*columns))
     return f.select(F.concat_ws(",", *[X.csv_field(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns]).alias("value"))
 
 
@@ -82,5 +74,6 @@ def write_json(f: DataFrame, path: str) -> None:
 
 
 def markdown_rows(f: DataFrame, columns: list[str]) -> DataFrame:
+    f = mask_tree(f.select(*columns))
     cells = [X.md_cell(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns]
     return f.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value"))

@@ -181,8 +181,7 @@ def _(d):
 
 @q("mask_label_counts", "documents", None)
 def _(d):
-    m = d.select(M.masked(F.col("text")).alias("t")).where("t IS NOT NULL")
-    return m.select(F.explode(M.mask_counts(F.col("t"))).alias("label", "n")).groupBy("label").agg(F.sum("n").alias("n"))
+    return d.where("text IS NOT NULL").select(F.explode(M.mask_counts(F.col("text"))).alias("label", "n")).groupBy("label").agg(F.sum("n").alias("n"))
 
 
 # ---- events -------------------------------------------------------------------------
