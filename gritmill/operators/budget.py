@@ -12,19 +12,22 @@ def path_budget(paths: DataFrame, cap: int, per_pair: int = 5) -> DataFrame:
 
     The best path of every family is a floor and always kept; of a repeated
     (source, family) the best ``per_pair`` may stay; the rest fills the cap by score.
-    Ranks are windows over keys, and the cap is a limit, so no group is collected.
+    The floor is a partial maximum, the ranks of a pair are limited before the shuffle,
+    and the cap is a limit, so no group is collected or sorted whole.
     """
     order = [F.desc("score"), "path_id"]
-    r = paths.withColumn("_f", F.row_number().over(W.partitionBy("family").orderBy(*order))).withColumn(
-        "_p", F.row_number().over(W.partitionBy("source", "family").orderBy(*order))
-    )
-    return r.where((F.col("_f") == 1) | (F.col("_p") <= per_pair)).orderBy(F.when(F.col("_f") == 1, 0).otherwise(1), *order).limit(cap).drop("_f", "_p")
+    floor = paths.groupBy("family").agg(F.min_by(F.struct(*paths.columns), F.struct((-F.col("score")).alias("s"), F.col("path_id").alias("i"))).alias("r")).select("r.*")
+    pair = paths.withColumn("_p", F.row_number().over(W.partitionBy("source", "family").orderBy(*order))).where(F.col("_p") <= per_pair).drop("_p")
+    rest = pair.join(floor.select("path_id"), "path_id", "left_anti").orderBy(*order).limit(cap)
+    return floor.withColumn("_f", F.lit(0)).unionByName(rest.withColumn("_f", F.lit(1))).orderBy("_f", *order).limit(cap).drop("_f")
 
 
 def cap_with_promotion(rows: DataFrame, key: str, covers: str, rank: list, cap: int) -> DataFrame:
     """The first ``cap`` rows by rank, with the best row of every value of ``covers`` promoted before the others."""
-    best = rows.withColumn("_b", F.row_number().over(W.partitionBy(covers).orderBy(*rank, key)))
-    return best.orderBy(F.when((F.col("_b") == 1) & F.col(covers).isNotNull(), 0).otherwise(1), *rank, key).limit(cap).drop("_b")
+    first = F.row_number().over(W.partitionBy(covers).orderBy(*rank, key))  # a rank limit, which goes before the shuffle
+    best = rows.where(F.col(covers).isNotNull()).withColumn("_b", first).where("_b = 1").drop("_b")
+    rest = rows.join(best.select(key), key, "left_anti").orderBy(*rank, key).limit(cap)
+    return best.withColumn("_b", F.lit(0)).unionByName(rest.withColumn("_b", F.lit(1))).orderBy("_b", *rank, key).limit(cap).drop("_b")
 
 
 def round_robin(rows: DataFrame, group: str, order: list, per_group: int, total: int) -> DataFrame:

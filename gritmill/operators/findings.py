@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gritmill.functions import severity as S
 from gritmill.functions import text as X
+from gritmill.operators.ordering import place_in_group
 
 # Weaknesses that need no data flow, and words that tell of a secret.
 POINT_CWES = [798, 259, 321, 256, 352, 1004, 614, 307, 778, 311, 312, 532, 209]
@@ -87,6 +88,21 @@ def same_bug(a: str, b: str, tolerance: int) -> Column:
     return agrees & (close | overlap)
 
 
+def same_place(f: DataFrame) -> DataFrame:
+    """One row per file, class, weakness and span: its least id (``ord``) and its members; the copies are counted map-side."""
+    g = f.groupBy("file", "vuln_class", X.cwe_number(F.col("cwe")).alias("n"), "line_start", "line_end")
+    return g.agg(F.min("id").alias("ord"), F.count("*").alias("members")).withColumn("cwe", F.col("n").cast("string"))
+
+
+def with_class(rows: DataFrame, classes: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the class of their keys; null keys match null keys."""
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]
+    on = same[0]
+    for s in same[1:]:
+        on = on & s
+    return rows.alias("r").join(classes.alias("c"), on).select("r.*", *[f"c.{x}" for x in classes.columns if x not in keys])
+
+
 def near_candidates(f: DataFrame, tolerance: int) -> DataFrame:
     """Links (id, earlier id) of findings that may be one bug: bucketed range join on file and line bucket.
 
@@ -94,11 +110,15 @@ def near_candidates(f: DataFrame, tolerance: int) -> DataFrame:
     tolerance reach, so a file with very many findings is split by line.
     """
     width = max(tolerance, 1) * 4
-    home = f.withColumn("bucket", F.floor(F.col("line_start") / width))
+    narrow = f.select("file", "ord", "cwe", "vuln_class", "line_start", "line_end", "members")
+    home = narrow.withColumn("bucket", F.floor(F.col("line_start") / width))
     lo, hi = F.floor((F.col("line_start") - tolerance) / width), F.floor((F.greatest("line_end", F.col("line_start")) + tolerance) / width)
-    reach = f.withColumn("bucket", F.explode(F.sequence(lo, hi)))
+    reach = narrow.withColumn("bucket", F.explode(F.sequence(lo, hi)))
     pairs = home.alias("a").join(reach.alias("b"), ["file", "bucket"]).where((F.col("a.ord") != F.col("b.ord")) & same_bug("a", "b", tolerance))
-    return pairs.select(F.greatest("a.ord", "b.ord").alias("later"), F.least("a.ord", "b.ord").alias("earlier")).distinct()
+    side = lambda x, y: F.when(F.col("a.ord") > F.col("b.ord"), F.col(f"{x}.members")).otherwise(F.col(f"{y}.members"))
+    return pairs.select(
+        F.greatest("a.ord", "b.ord").alias("later"), F.least("a.ord", "b.ord").alias("earlier"), side("a", "b").alias("later_members"), side("b", "a").alias("earlier_members")
+    ).distinct()
 
 
 def greedy_roots(items: pd.DataFrame, tolerance: int) -> list[int]:
@@ -181,7 +201,7 @@ def tiered_match(current: DataFrame, baseline: DataFrame, tiers: list[str]) -> D
     matched = None
     left, right = current, baseline
     for t in tiers:
-        number = lambda df, order, key=t: df.where(F.col(key).isNotNull()).withColumn("k", F.row_number().over(W.partitionBy(key).orderBy(order)))
+        number = lambda df, order, key=t: place_in_group(df.where(F.col(key).isNotNull()), [key], F.col(order), "k")
         hit = number(left, "cur").select(t, "k", "cur").join(number(right, "base").select(t, "k", "base"), [t, "k"]).select("cur", "base", F.lit(t).alias("tier"))
         matched = hit if matched is None else matched.unionByName(hit)
         left, right = left.join(hit.select("cur"), "cur", "left_anti"), right.join(hit.select("base"), "base", "left_anti")

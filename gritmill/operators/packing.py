@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -9,21 +11,24 @@ from pyspark.sql import DataFrame
 def next_fit(df: DataFrame, group: str, order: str, size: str, max_size: int, max_items: int) -> DataFrame:
     """Adds ``shard`` (from 0) within each group; an item above the limit stands alone.
 
-    The state depends on every item before it, so a group is one grouped map over
-    its narrow columns; groups are directories or chunks, bounded by the repository.
+    The state depends on every item before it, so the items of a group come sorted to
+    one task; there they stream through, and no group is held in memory.
     """
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        shard, used, n, out = 0, 0, 0, []
-        for s in pdf[size]:
-            if n and (used + s > max_size or n >= max_items):
-                shard, used, n = shard + 1, 0, 0
-            used, n = used + s, n + 1
-            out.append(shard)
-        pdf["shard"] = out
-        return pdf
-
     narrow = df.select(group, order, size)
     kinds = {f.name: f.dataType.simpleString() for f in narrow.schema}
-    return narrow.groupBy(group).applyInPandas(pack, ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + ", shard bigint")
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, shard, used, n = object(), 0, 0, 0
+        for pdf in batches:
+            out = []
+            for g, s in zip(pdf[group], pdf[size], strict=True):
+                if g != at:
+                    at, shard, used, n = g, 0, 0, 0
+                if n and (used + s > max_size or n >= max_items):
+                    shard, used, n = shard + 1, 0, 0
+                used, n = used + s, n + 1
+                out.append(shard)
+            yield pdf.assign(shard=out)
+
+    return narrow.repartition(group).sortWithinPartitions(group, order).mapInPandas(pack, ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + ", shard bigint")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gritmill.functions import severity as S
 from gritmill.functions import text as X
 from gritmill.operators import findings as O
+from gritmill.operators import ordering as N
 from gritmill.plans.domain import domain, sql_with
 from gritmill.plans.registry import Registry
 
@@ -268,9 +269,18 @@ def _(f):
 _SAME = "((coalesce(a.n = b.n, false)) OR (a.vuln_class = b.vuln_class AND (a.n IS NULL OR b.n IS NULL))) AND (abs(a.line_start - b.line_start) <= 3 OR (a.line_start <= b.line_end AND b.line_start <= a.line_end))"
 
 
-@q("same_bug_links", "findings", f", o AS (SELECT *, {_NUM} AS n FROM findings) SELECT greatest(a.id, b.id) AS later, least(a.id, b.id) AS earlier FROM o a JOIN o b ON a.file = b.file AND a.id < b.id AND {_SAME}")
+@q("same_bug_links", "findings", f", c AS (SELECT file, vuln_class, {_NUM} AS n, line_start, line_end, min(id) AS id, count(*) AS members FROM findings GROUP BY 1, 2, 3, 4, 5) SELECT greatest(a.id, b.id) AS later, least(a.id, b.id) AS earlier, CASE WHEN a.id > b.id THEN a.members ELSE b.members END AS later_members, CASE WHEN a.id > b.id THEN b.members ELSE a.members END AS earlier_members FROM c a JOIN c b ON a.file = b.file AND a.id < b.id AND {_SAME}")
 def _(f):
-    return O.near_candidates(f.withColumn("ord", F.col("id")), 3)
+    """Links between findings that differ; the copies of one place and weakness are counted in its class (same_bug_classes)."""
+    return O.near_candidates(O.same_place(f), 3)
+
+
+@q("same_bug_classes", "findings", f"SELECT id, min(id) OVER (PARTITION BY file, vuln_class, {_NUM}, line_start, line_end) AS class_id FROM findings")
+def _(f):
+    keys = ["file", "vuln_class", "n", "line_start", "line_end"]
+    c = O.same_place(f).select(*keys, F.col("ord").alias("class_id"))
+    mine = f.withColumn("n", X.cwe_number(F.col("cwe"))).select("id", *keys)
+    return O.with_class(mine, c, keys).select("id", "class_id")
 
 
 @q("span_functions", "findings spans", "SELECT f.id, count(s.function) AS functions, min(s.function) AS first_function FROM findings f LEFT JOIN spans s ON s.file = f.file AND s.span_start <= f.line_end AND f.line_start <= s.span_end GROUP BY f.id")
@@ -403,25 +413,7 @@ def _(f):
 @q("canonical_order", "findings", rf"SELECT id, row_number() OVER (ORDER BY CASE WHEN coalesce({_REF.format('source_ref')} IS NOT NULL AND regexp_replace({_REF.format('sink_ref')}, ':[^:]*$', '') = file, false) THEN 0 ELSE 1 END, file, line_start, {_SEVRANK.format('severity')}, vuln_class, CASE WHEN {_NUM} IS NULL THEN 2 WHEN {_NUM} IN (20,74,200,284,285,664,682,691,693,697,703,707,710) THEN 1 ELSE 0 END, coalesce({_NUM}, 4294967295), verdict_confidence DESC, confidence DESC, title, id) AS idx FROM findings")
 def _(f):
     ordered = f.select("id", "file", "line_start", "severity", "vuln_class", "cwe", "verdict_confidence", "confidence", "title", "source_ref", "sink_ref")
-    return _numbered(ordered, O.canonical_order()).select("id", F.col("idx").cast("bigint").alias("idx"))
-
-
-def _numbered(df, keys):
-    """Global row numbers without one big task: the rows of every file are numbered apart, the files' sizes give the offsets.
-
-    The first keys of the order are the anchor rank and the file, so numbers follow from counts per (rank, file).
-    """
-    rows = df.withColumn("_anchor", _anchor())
-    local = rows.withColumn("_k", F.row_number().over(W.partitionBy("_anchor", "file").orderBy(*keys[2:])))
-    sizes = rows.groupBy("_anchor", "file").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.orderBy("_anchor", "file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return local.join(sizes.select("_anchor", "file", before.alias("_before")), ["_anchor", "file"]).withColumn("idx", F.col("_k") + F.col("_before"))
-
-
-def _anchor():
-    sink_file = X.normalize_ref(F.regexp_replace(X.normalize_ref(F.col("sink_ref")), r":[^:]*$", ""))
-    same = X.normalize_ref(F.col("source_ref")).isNotNull() & (sink_file == X.normalize_ref(F.col("file")))
-    return F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)
+    return N.number_rows(ordered, O.canonical_order()).select("id", "idx")
 
 
 @q("report_order_top", "findings", f"SELECT id, severity, file, line_start FROM findings ORDER BY {_SEVRANK.format('severity')}, file, line_start, id LIMIT 100")
@@ -449,9 +441,7 @@ def _(f):
 
 @q("total_char_cap", "findings", "SELECT id, least(len, greatest(0, 2000 - (run_total - len))) AS kept FROM (SELECT id, CAST(length(title) AS BIGINT) AS len, CAST(sum(length(title)) OVER (PARTITION BY chunk_no ORDER BY id) AS BIGINT) AS run_total FROM findings) x WHERE run_total - len < 2000")
 def _(f):
-    total = F.sum("len").over(W.partitionBy("chunk_no").orderBy("id"))
-    t = f.select("id", "chunk_no", F.length("title").cast("bigint").alias("len")).withColumn("t", total)
-    return t.where("t - len < 2000").select("id", F.least("len", F.greatest(F.lit(0).cast("bigint"), 2000 - (F.col("t") - F.col("len")))).alias("kept"))
+    return N.running_cap(f.select("id", "chunk_no", F.length("title").cast("bigint").alias("len")), "chunk_no", "id", "len", 2000).select("id", "kept")
 
 
 @q("nearest_sink_member", "findings", "SELECT file, arg_min(id, (abs(line_start - 200), id)) AS representative FROM findings GROUP BY 1")
@@ -462,8 +452,7 @@ def _(f):
 @q("index_remap", "findings", "SELECT id, CASE WHEN keep THEN row_number() OVER (PARTITION BY vendor, keep ORDER BY id) END AS new_pos FROM (SELECT id, vendor, confidence >= 0.6::DOUBLE AS keep FROM findings) x")
 def _(f):
     k = f.select("id", "vendor", (F.col("confidence") >= 0.6).alias("keep"))
-    pos = F.row_number().over(W.partitionBy("vendor", "keep").orderBy("id")).cast("bigint")
-    return k.select("id", F.when(F.col("keep"), pos).alias("new_pos"))
+    return N.place_in_group(k, ["vendor", "keep"], F.col("id"), "pos").select("id", F.when(F.col("keep"), F.col("pos")).alias("new_pos"))
 
 
 # ---- sets ---------------------------------------------------------------------------

@@ -10,6 +10,7 @@ from gritmill.functions import json_text as J
 from gritmill.functions import text as X
 from gritmill.operators import budget as B
 from gritmill.operators import diffs as V
+from gritmill.operators import ordering as N
 from gritmill.operators import reports as P
 from gritmill.plans.domain import domain, sql_with
 from gritmill.plans.registry import Registry
@@ -86,9 +87,9 @@ def _(f):
     return f.agg(F.count_distinct(F.when(F.col("chunk_no") % 2 == 0, F.col("vendor"))).alias("covered"), F.count_distinct("vendor").alias("counted"))
 
 
-@q("chunk_files_distinct", "findings", "SELECT chunk_no, array_to_string(list_sort(list(DISTINCT file)), ',') AS files FROM findings WHERE confidence > 0.9::DOUBLE GROUP BY 1")
+@q("chunk_files_distinct", "findings", "SELECT DISTINCT chunk_no, file FROM findings WHERE confidence > 0.9::DOUBLE")
 def _(f):
-    return f.where("confidence > 0.9D").groupBy("chunk_no").agg(F.array_join(F.array_sort(F.collect_set("file")), ",").alias("files"))
+    return f.where("confidence > 0.9D").select("chunk_no", "file").distinct()
 
 
 @q("taint_merge_ranks", "findings", "SELECT DISTINCT chunk_no + 40 AS rank, 'c' AS kind FROM findings WHERE chunk_no >= 3 UNION ALL SELECT DISTINCT chunk_no, 'taint' FROM findings WHERE chunk_no < 3")
@@ -105,16 +106,18 @@ def _(c, b):
     return j.groupBy(F.when(F.col("i") == 1, "id").when(F.col("l") == 1, "locator").otherwise("create").alias("how")).agg(F.count("*").alias("n"))
 
 
-@q("attach_duplicates", "findings", "SELECT file, vuln_class, min(id) AS root, array_to_string(list_sort(list(DISTINCT line_start || '-' || line_end)), ',') AS places FROM findings GROUP BY 1, 2")
+@q("attach_duplicates", "findings", "SELECT DISTINCT file, vuln_class, root, line_start, line_end FROM findings JOIN (SELECT file, vuln_class, min(id) AS root FROM findings GROUP BY 1, 2) r USING (file, vuln_class)")
 def _(f):
-    place = F.concat_ws("-", F.col("line_start").cast("string"), F.col("line_end").cast("string"))
-    return f.groupBy("file", "vuln_class").agg(F.min("id").alias("root"), F.array_join(F.array_sort(F.collect_set(place)), ",").alias("places"))
+    places = f.groupBy("file", "vuln_class", "line_start", "line_end").agg(F.min("id").alias("first"))
+    roots = places.groupBy("file", "vuln_class").agg(F.min("first").alias("root"))
+    return places.drop("first").join(roots, ["file", "vuln_class"])
 
 
 @q("files_needing_fixes", "findings", "SELECT vendor, left(array_to_string(list_sort(list(DISTINCT file)), ', '), 4096) AS files FROM findings WHERE severity IN ('critical', 'high') AND run = 1 GROUP BY 1")
 def _(f):
     bad = f.where("severity IN ('critical', 'high') AND run = 1")
-    return bad.groupBy("vendor").agg(F.left(F.array_join(F.array_sort(F.collect_set("file")), ", "), F.lit(4096)).alias("files"))
+    names = N.first_values(bad, "vendor", "file", 2049)  # no more of them fit, with two signs between
+    return names.select("vendor", F.left(F.array_join("values", ", "), F.lit(4096)).alias("files"))
 
 
 @q("sliding_windows", "findings", "SELECT file, w * 40 + 1 AS first_line, w * 40 + 60 AS last_line FROM (SELECT file, max(line_end) AS n FROM findings GROUP BY 1) a, LATERAL (SELECT unnest(range(0, CAST((n - 1) // 40 + 1 AS BIGINT))) AS w) b")
@@ -241,7 +244,7 @@ def _(f):
 
 @q("control_support", "findings", "SELECT vendor, array_to_string(list_slice(list_sort(list(DISTINCT file)), 1, 3), ';') AS evidence FROM findings WHERE title LIKE '%password%' GROUP BY 1")
 def _(f):
-    return f.where(F.contains("title", F.lit("password"))).groupBy("vendor").agg(F.array_join(F.slice(F.array_sort(F.collect_set("file")), 1, 3), ";").alias("evidence"))
+    return N.first_values(f.where(F.contains("title", F.lit("password"))), "vendor", "file", 3).select("vendor", F.array_join("values", ";").alias("evidence"))
 
 
 @q("file_dispositions", "findings", "SELECT file, CASE min(CASE run WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 3 END) WHEN 0 THEN 'reviewed' WHEN 1 THEN 'budget_skipped' ELSE 'chunk_failed' END AS disposition FROM findings GROUP BY 1")

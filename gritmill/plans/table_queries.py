@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from gritmill.functions import masking as M
 from gritmill.functions import text as X
 from gritmill.operators import graph as G
+from gritmill.operators import ordering as N
 from gritmill.operators.packing import next_fit
 from gritmill.plans.domain import domain, sql_with
 from gritmill.plans.finding_queries import _LANG
 from gritmill.plans.registry import Registry
+from gritmill.sources import checkpoints as C
 from gritmill.sources import exports as E
 from gritmill.tables import table
 
@@ -115,8 +117,7 @@ def _(s):
 
 @q("tenant_isolation", "scan_run", "SELECT DISTINCT scan_id, repo_id FROM scan_run WHERE tenant_id = (SELECT min(tenant_id) FROM scan_run)")
 def _(s):
-    least = s.agg(F.min("tenant_id").alias("tenant_id"))
-    return s.join(F.broadcast(least), "tenant_id").select("scan_id", "repo_id").distinct()
+    return C.tenant_rows(s, tenant=s.agg(F.min("tenant_id")).first()[0]).select("scan_id", "repo_id").distinct()
 
 
 # ---- texts --------------------------------------------------------------------------
@@ -282,16 +283,14 @@ def _seeds(e):
     return e.where(F.col("src").startswith("src/m0.py") | F.col("src").startswith("src/m5.py")).select(F.col("src").alias("node")).distinct()
 
 
-def g(name: str, body: str | None, recursive: bool = False, whole: bool = True):
-    """The query over the edges its SQL twin has and, as name_whole, over those of all lineitem rows."""
+def g(name: str, body: str | None, recursive: bool = False):
+    """A query over the call graph of all lineitem rows; no twin where SQL would have to list all pairs."""
 
     def add(f):
         sql = sql_with("call_edges", body) if body else None
         if sql and recursive:
             sql = sql.replace("WITH ", "WITH RECURSIVE ", 1)
         R.query(name, sql)(lambda spark, sf_dir: f(domain(spark, sf_dir, "call_edges")))
-        if whole:
-            R.query(f"{name}_whole")(lambda spark, sf_dir: f(domain(spark, sf_dir, "whole_call_edges")))
         return f
 
     return add
@@ -302,37 +301,28 @@ def _(e):
     return G.reachable(e, _seeds(e)).select("node")
 
 
-@g("components", ", b AS (SELECT src AS x, dst AS y FROM call_edges UNION SELECT dst, src FROM call_edges), r AS (SELECT x AS node, x AS other FROM b UNION SELECT r.node, b.y FROM r JOIN b ON r.other = b.x) SELECT node, min(other) AS label FROM r GROUP BY 1", True)
+@g("components", None)
 def _(e):
     nodes = e.select(F.col("src").alias("node")).union(e.select("dst"))
     return G.components(e, nodes)
 
 
-@g("call_adjacency", "SELECT src, array_to_string(list_sort(list(DISTINCT dst)), ',') AS callees, count(DISTINCT dst) AS n FROM call_edges GROUP BY 1")
+@g("call_adjacency", "SELECT DISTINCT src, dst, n FROM call_edges JOIN (SELECT src, count(DISTINCT dst) AS n FROM call_edges GROUP BY 1) d USING (src)")
 def _(e):
     return G.adjacency(e)
 
 
-@g("taint_paths", ", s AS (" + _SEEDS + "), k AS (SELECT DISTINCT dst AS node FROM call_edges WHERE dst LIKE '%::f1%'), p1 AS (SELECT [s.node, e.dst] AS path, e.dst AS tip FROM s JOIN call_edges e ON e.src = s.node AND e.dst <> s.node), p2 AS (SELECT list_append(path, e.dst) AS path, e.dst AS tip FROM p1 JOIN call_edges e ON e.src = p1.tip AND NOT list_contains(path, e.dst)) SELECT DISTINCT array_to_string(path, '>') AS path FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2) a WHERE tip IN (SELECT node FROM k)", whole=False)
+@g("taint_paths", None)
 def _(e):
-    sinks = e.where(F.col("dst").contains("::f1")).select(F.col("dst").alias("node")).distinct()
-    return G.paths_to_sinks(e, _seeds(e), sinks, 2).select(F.array_join("path", ">").alias("path"))
-
-
-def _taint_whole(spark, sf_dir):
-    """Over all edges, 3 hops and 5 for high risk; the projection calls a node of odd number high risk."""
-    e = domain(spark, sf_dir, "whole_call_edges")
+    """3 hops and 5 for high risk; the projection calls a node of odd number high risk."""
     risk = F.col("node").rlike("[13579]$").alias("high_risk")
     sinks = e.where(F.col("dst").contains("::f1")).select(F.col("dst").alias("node")).distinct()
     return G.shortest_taint_paths(e, _seeds(e).select("node", risk), sinks.select("node", risk)).select(F.array_join("path", ">").alias("path"))
 
 
-R.query("taint_paths_whole")(_taint_whole)
-
-
 @g("neighborhood", "SELECT src, array_to_string(list_slice(list_sort(list(DISTINCT dst)), 1, 3), ',') AS first_callees FROM call_edges GROUP BY 1")
 def _(e):
-    return e.groupBy("src").agg(F.array_join(F.slice(F.array_sort(F.collect_set("dst")), 1, 3), ",").alias("first_callees"))
+    return N.first_values(e, "src", "dst", 3).select("src", F.array_join("values", ",").alias("first_callees"))
 
 
 @g("file_graph", "SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM (SELECT split_part(src, '::', 1) AS a, split_part(dst, '::', 1) AS b FROM call_edges) x WHERE a <> b")
@@ -349,9 +339,9 @@ def _(s):
 
 R.query("callee_resolution")(
     lambda spark, sf_dir: G.resolve_callees(
-        domain(spark, sf_dir, "whole_call_edges").select(
+        domain(spark, sf_dir, "call_edges").select(
             F.concat_ws(">", "src", "dst").alias("call_id"), F.split_part("src", F.lit("::"), F.lit(1)).alias("caller_file"), F.split_part("dst", F.lit("::"), F.lit(2)).alias("name")
         ),
-        domain(spark, sf_dir, "whole_call_edges").select(F.split_part("dst", F.lit("::"), F.lit(1)).alias("def_file"), F.split_part("dst", F.lit("::"), F.lit(2)).alias("name")).distinct(),
+        domain(spark, sf_dir, "call_edges").select(F.split_part("dst", F.lit("::"), F.lit(1)).alias("def_file"), F.split_part("dst", F.lit("::"), F.lit(2)).alias("name")).distinct(),
     )
 )

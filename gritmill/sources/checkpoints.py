@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -41,13 +40,14 @@ class StageStore:
 
 def stale_runs(runs: DataFrame, now, max_days: int, keep: int) -> DataFrame:
     """Runs older than the limit or not among the latest ``keep``."""
-    k = F.row_number().over(W.orderBy(F.desc("started_at"), "run_id"))
-    return runs.withColumn("k", k).where((F.col("k") > keep) | (F.col("started_at") < F.lit(now) - F.make_dt_interval(F.lit(max_days)))).drop("k")
+    latest = runs.orderBy(F.desc("started_at"), "run_id").limit(keep).select("run_id", F.lit(True).alias("_latest"))
+    old = F.col("started_at") < F.lit(now) - F.make_dt_interval(F.lit(max_days))
+    return runs.join(latest, "run_id", "left").where(F.col("_latest").isNull() | old).drop("_latest")
 
 
-def tenant_rows(df: DataFrame, tenant_conf: str = "gritmill.tenant") -> DataFrame:
-    """Only the session tenant's rows; an error when no tenant is set."""
-    tenant = df.sparkSession.conf.get(tenant_conf, None)
+def tenant_rows(df: DataFrame, tenant_conf: str = "gritmill.tenant", tenant: str | None = None) -> DataFrame:
+    """Only the rows of a tenant, by default the session's; an error when none is set."""
+    tenant = tenant or df.sparkSession.conf.get(tenant_conf, None)
     if not tenant:
         raise ValueError(f"{tenant_conf} is not set")
     return df.where(F.col("tenant_id") == tenant)

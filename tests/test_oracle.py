@@ -3,6 +3,7 @@
 import glob
 import math
 import os
+import re
 
 import duckdb
 import pytest
@@ -39,7 +40,7 @@ def test_twin(spark, duck, sf, name):
     assert mine == theirs
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(TWINS) - {n for n in QUERIES if n.startswith("p")}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(TWINS) - {n for n in QUERIES if re.match("p[1-7]_", n)}))  # those of the training data have tests of their own
 def test_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() >= 0
 

@@ -48,4 +48,4 @@ def test_registered_over_all_edges(spark, tmp_path):
     sources = {a: a[-1] in "13579" for a, _ in edges if a.startswith(("src/m0.py", "src/m5.py"))}
     want = brute(edges, sources, {b: b[-1] in "13579" for _, b in edges if "::f1" in b})
     assert any(len(p) > 3 for p in want)
-    assert sorted(r.path for r in entry.queries()["taint_paths_whole"](spark, str(tmp_path)).collect()) == sorted(">".join(p) for p in want)
+    assert sorted(r.path for r in entry.queries()["taint_paths"](spark, str(tmp_path)).collect()) == sorted(">".join(p) for p in want)
