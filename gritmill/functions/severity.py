@@ -64,15 +64,19 @@ def add_cvss(df: DataFrame, vector: str = "cvss_vector", out: str = "score") ->
     return s.withColumn(out, score).drop(*_HELPERS)
 
 
-def add_environmental(df: DataFrame, mav: str, cr: str, ir: str, ar: str, vector: str = "cvss_vector", out: str = "env_score") -> DataFrame:
-    """Adds the environmental score for a modified attack vector and three requirements, with the fixed temporal factor."""
-    rc, ri, ra = (REQUIREMENT.get(x, 1.0) for x in (cr, ir, ar))
+def _weight(table: dict[str, float], letter: str | Column) -> Column:
+    return _pick(table, letter, 1.0) if isinstance(letter, Column) else F.lit(table.get(letter, 1.0))
+
+
+def add_environmental(df: DataFrame, mav: str | Column, cr: str | Column, ir: str | Column, ar: str | Column, vector: str = "cvss_vector", out: str = "env_score") -> DataFrame:
+    """Adds the environmental score for a modified attack vector and three requirements, letters or columns of them, with the fixed temporal factor."""
+    rc, ri, ra = (_weight(REQUIREMENT, x) for x in (cr, ir, ar))
     s = _steps(df, vector)
     miss = F.lit(1.0) - (F.lit(1.0) - rc * F.col("_c")) * (F.lit(1.0) - ri * F.col("_i")) * (F.lit(1.0) - ra * F.col("_a"))
     s = s.withColumn("_iss", F.least(miss, F.lit(0.915)))
     s = s.withColumns(
         {"_im": F.when(F.col("_changed"), F.lit(7.52) * (F.col("_iss") - 0.029) - F.lit(3.25) * F.pow(F.col("_iss") * 0.9731 - 0.02, F.lit(13.0))).otherwise(F.lit(6.42) * F.col("_iss")),
-         "_ex": F.lit(8.22 * AV[mav]) * F.col("_ac") * F.col("_pr") * F.col("_ui")}
+         "_ex": F.lit(8.22) * _weight(AV, mav) * F.col("_ac") * F.col("_pr") * F.col("_ui")}
     )
     s = s.withColumn("_bs", F.least(F.when(F.col("_changed"), F.lit(1.08) * (F.col("_im") + F.col("_ex"))).otherwise(F.col("_im") + F.col("_ex")), F.lit(10.0)))
     s = s.withColumn("_mb", roundup(F.col("_bs")))
@@ -80,6 +84,16 @@ def add_environmental(df: DataFrame, mav: str, cr: str, ir: str, ar: str, vector
     return s.withColumn(out, score).drop(*_HELPERS)
 
 
+def add_app_score(df: DataFrame, vector: str = "cvss_vector", out: str = "vsvs") -> DataFrame:
+    """Adds the environmental score of an application with the flags ``external``, ``pci``, ``pan`` and ``pii``, null flags being false:
+    an internal one is attacked from its network at most, card and personal data raise the requirements."""
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    high = lambda c: F.when(c, "H").otherwise("M")
+    given = F.substring(F.regexp_extract(vector, VECTOR, 0), 4, 1)
+    reach = F.when(~yes("external") & (given == "N"), "A").otherwise(given)
+    return add_environmental(df, reach, high(yes("pci") | yes("pan") | yes("pii")), high(yes("pci") | yes("pan")), "M", vector, out)
+
+
 def rating(score: Column) -> Column:
     return (
         F.when(score.isNull(), "Unknown").when(score == 0, "None").when(score < 4, "Low").when(score < 7, "Medium").when(score < 9, "High").otherwise("Critical")
