@@ -137,11 +137,14 @@ def packed(documents: DataFrame, windows: DataFrame, path: str | None = None) ->
     ]
     frame = pd.DataFrame(plan, columns=["window_id", "tokens", "first", "stop", "each", "window_first"])
     intervals = spark.createDataFrame(frame, "window_id int, tokens int, first bigint, stop bigint, each bigint, window_first bigint")
-    # The intervals of one length are few; rows find theirs in an array, by rank, without a range join.
     by_length = intervals.groupBy("window_id", "tokens").agg(F.array_sort(F.collect_list(F.struct("first", "stop", "each", "window_first"))).alias("places"))
+    # Every salt of a length gets the intervals its ranks lie in, so that rows find theirs in a short array and meet it by (length, salt).
+    last = F.col("offset") + F.col("n")
+    mine = F.filter("places", lambda p: (p["first"] < last) & (p["stop"] > F.col("offset")))
+    salted = offsets.join(by_length, ["window_id", "tokens"], "left").select("window_id", "tokens", "salt", "offset", mine.alias("places"))
     rank = F.row_number().over(W.partitionBy("window_id", "tokens", "salt").orderBy("doc_id", "piece")) - 1
-    ranked = rows.withColumn("local", rank).join(offsets.drop("n", "capacity"), ["window_id", "tokens", "salt"]).join(by_length, ["window_id", "tokens"], "left")
+    ranked = rows.withColumn("local", rank).join(salted, ["window_id", "tokens", "salt"])
     at = F.col("local") + F.col("offset")
-    mine = F.get(F.filter("places", lambda p: (p["first"] <= at) & (at < p["stop"])), F.lit(0))
-    number = F.when(F.col("tokens") == 0, F.lit(0)).otherwise(mine["window_first"] + F.floor((at - mine["first"]) / mine["each"]))
+    place = F.get(F.filter("places", lambda p: (p["first"] <= at) & (at < p["stop"])), F.lit(0))
+    number = F.when(F.col("tokens") == 0, F.lit(0)).otherwise(place["window_first"] + F.floor((at - place["first"]) / place["each"]))
     return ranked.select("window_id", "doc_id", "piece", "first_token", "tokens", number.cast("bigint").alias("window_no"))
