@@ -2,9 +2,8 @@
 
 Texts are measured in tokens once. For each capacity their lengths become a
 histogram of at most ``capacity`` rows, which is the only thing that reaches the
-driver. There lengths are placed longest first: the patterns with the least room
-left that still takes them are extended, as many at a time as both counts allow,
-so the work and the patterns are bounded by the capacity, not by the texts. The
+driver. There lengths are placed longest first: the patterns filled least are
+extended, as many at a time as both counts allow, so the work and the patterns are bounded by the capacity, not by the texts. The
 patterns go back to the texts by rank: the texts of a length are numbered, and
 an interval of numbers belongs to each place of each pattern.
 
@@ -23,7 +22,7 @@ Defined results
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import insort
 from collections import defaultdict
 from dataclasses import dataclass
 
@@ -53,8 +52,8 @@ def pack_histogram(counts: dict[int, int], capacity: int) -> Strategy:
     """Shortest-pack-first packing of a histogram {length: number}, longest lengths first.
 
     A pattern is (windows, room left, places); it is split when a length fills only
-    part of its windows. For each length the pattern with the least sufficient room
-    is taken first (the shortest remaining gap), else a new one is opened.
+    part of its windows. A length goes to the pattern filled least, the shortest
+    pack, as long as that has room for it, else a new one is opened.
     """
     by_room: dict[int, list[tuple[int, list[tuple[int, int]]]]] = defaultdict(list)
     rooms: list[int] = []  # sorted
@@ -71,13 +70,12 @@ def pack_histogram(counts: dict[int, int], capacity: int) -> Strategy:
     for size in sorted((s for s in counts if s > 0), reverse=True):
         left = counts[size]
         while left:
-            at = bisect_left(rooms, size)
-            if at == len(rooms):
+            if not rooms or rooms[-1] < size:
                 break
-            room = rooms[at]
+            room = rooms[-1]
             number, places = by_room[room].pop()
             if not by_room[room]:
-                del rooms[at]
+                rooms.pop()
             each = min(room // size, left)
             full = min(number, left // each)
             left -= full * each
