@@ -53,6 +53,12 @@ GATE = NestedTable("gate", "gateresults", "gatename", frozenset({"gatename", "st
 SCORE = NestedTable("score", "validations", "fixstatus", frozenset({"rawscore", "fixstatus", "justification", "gateresults", "hascriticalfailure"}), (GATE,))
 REACH = NestedTable("reach", "reaches", "name", frozenset({"name", "kind", "authenticated", "via"}))
 
+# The fields as the tables name them; any spelling with the same letters and digits is one of them.
+FIELD_NAMES = (
+    "raw_score fix_status justification has_critical_failure gate_name status summary details confidence file line snippet name kind authenticated via"
+).split()
+_NAMED = {n.replace("_", ""): n for n in FIELD_NAMES}
+
 EMITTED = pa.schema(
     [
         ("tag", pa.string()),
@@ -124,6 +130,17 @@ def _by_key(obj: dict, key: str) -> Any:
     return found
 
 
+def _own(obj: dict, below: set[str]) -> dict:
+    """An object's own fields under the names of the tables; of two spellings of one the later value that is not null."""
+    own: dict = {}
+    for k, v in obj.items():
+        key = canonical_key(k)
+        name = _NAMED.get(key, k)
+        if key not in below and (name not in own or v is not None):
+            own[name] = v
+    return own
+
+
 def _text(value: Any) -> str:
     return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
@@ -135,7 +152,7 @@ def visit(doc: Any, tables: tuple[NestedTable, ...], parent: tuple[int, ...] = (
     for t in tables:
         for i, obj in enumerate(elements(_by_key(doc, t.key), t.fields)):
             below = {c.key for c in t.children}
-            own = {k: v for k, v in obj.items() if canonical_key(k) not in below}
+            own = _own(obj, below)
             yield t.tag, (*parent, i), parent, _text(_by_key(obj, t.label)), own
             if t.children:
                 yield from visit(obj, t.children, (*parent, i))
@@ -175,7 +192,8 @@ class NestedTables:
 
     def distinct(self) -> DataFrame:
         keys = ["tag", "record_id", "path", "parent_path"]
-        return self.rows.groupBy(*keys).agg(F.min("label").alias("label"), F.min("payload").alias("payload"))
+        one = self.rows.groupBy(*keys).agg(F.min(F.struct("label", "payload")).alias("one"))  # both of one delivery
+        return one.select(*keys, "one.label", "one.payload")
 
     def table(self, tag: str, schema: T.StructType) -> DataFrame:
         """One table with its schema applied to the payload; ``path`` is its key, ``parent_path`` the link."""

@@ -1,5 +1,7 @@
 import json
 
+
+from gritmill.plans.nested_queries import R
 from gritmill.operators.nested import REACH, SCORE, NestedTables, elements, emit, nested_children, visit, whole_document
 from pyspark.sql import types as T
 
@@ -55,3 +57,15 @@ def test_tables_link_and_round_trip(spark, tmp_path):
     back = NestedTables(spark.read.parquet(str(tmp_path / "t")))
     gate = back.table("gate", T.StructType([T.StructField("status", T.StringType())])).collect()
     assert [(r.record_id, list(r.path), list(r.parent_path), r.status) for r in gate] == [(7, [0, 0], [0], "pass")]
+
+
+def test_four_tables_in_any_spelling(spark, tmp_path):
+    gates = [{"GateName": "g", "gate-name": None, "STATUS": "pass", "evidence": {"0": {"File": "f", "LINE": 3}}}]
+    doc = {"Validations": [{"RawScore": 1, "fixStatus": "Fixed", "gateResults": gates}]}
+    other = {"reaches": [{"Name": "n", "via": {"a": 1}}, None, {"name": "m"}]}
+    rows = [(1, json.dumps(doc)), (1, json.dumps(doc)), (2, None)]
+    spark.createDataFrame(rows, "record_id long, payload string").write.parquet(str(tmp_path / "validation_raw.parquet"))
+    spark.createDataFrame([(7, json.dumps(other))], "record_id long, payload string").write.parquet(str(tmp_path / "context_raw.parquet"))
+    got = {n: sorted(map(tuple, R.queries[f"p3_{n}_table"](spark, str(tmp_path)).collect())) for n in ("score", "gate", "evidence", "reach")}
+    assert got["score"] == [(1, "0", "1", "Fixed", None, None)] and got["gate"] == [(1, "0/0", "0", "g", "pass", None, None, None)]
+    assert got["evidence"] == [(1, "0/0/0", "0/0", "f", "3", None)] and got["reach"] == [(7, "0", "n", None, None, '{"a":1}'), (7, "1", "m", None, None, None)]
