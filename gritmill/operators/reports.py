@@ -11,8 +11,8 @@ from gritmill.functions import severity as S
 from gritmill.functions import text as X
 
 
-def mask_tree(df: DataFrame) -> DataFrame:
-    """All string leaves masked, in structs, arrays and map values too."""
+def mask_tree(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """All string leaves masked, in structs, arrays and map values too; ``keys`` are our own numbers and stay, or rows could not be told apart."""
 
     def leaf(c: Column, kind: T.DataType) -> Column:
         if isinstance(kind, T.StringType):
@@ -25,7 +25,7 @@ def mask_tree(df: DataFrame) -> DataFrame:
             return F.transform_values(c, lambda _, v: leaf(v, kind.valueType))
         return F.when(c.isNotNull(), F.struct(*[leaf(c[f.name], f.dataType).alias(f.name) for f in kind]))
 
-    return df.select(*[leaf(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema])
+    return df.select(*[(F.col(f"`{f.name}`") if f.name in keys else leaf(F.col(f"`{f.name}`"), f.dataType)).alias(f.name) for f in df.schema])
 
 
 def _has_text(kind: T.DataType) -> bool:
@@ -58,9 +58,9 @@ def with_absent(results: DataFrame, absent: DataFrame) -> DataFrame:
     return results.withColumn("state", F.lit("present")).unionByName(absent.withColumn("state", F.lit("absent")))
 
 
-def csv_lines(f: DataFrame, columns: list[str]) -> DataFrame:
+def csv_lines(f: DataFrame, columns: list[str], keys: tuple[str, ...] = ("id",)) -> DataFrame:
     """Rows as CSV lines; only fields with a comma, quote or line end are quoted."""
-    f = mask_tree(f.select(*columns))
+    f = mask_tree(f.select(*columns), keys)
     return f.select(F.concat_ws(",", *[X.csv_field(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns]).alias("value"))
 
 
@@ -73,7 +73,7 @@ def write_json(f: DataFrame, path: str) -> None:
     mask_tree(f).write.mode("overwrite").json(path)
 
 
-def markdown_rows(f: DataFrame, columns: list[str]) -> DataFrame:
-    f = mask_tree(f.select(*columns))
+def markdown_rows(f: DataFrame, columns: list[str], keys: tuple[str, ...] = ("id",)) -> DataFrame:
+    f = mask_tree(f.select(*columns), keys)
     cells = [X.md_cell(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns]
     return f.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value"))
