@@ -1,10 +1,12 @@
 """Greedy choices in rounds against the pass itself, written plainly."""
 
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from gritmill import tables
 from gritmill.operators import clusters as C
 from gritmill.operators import findings as O
 from gritmill.operators import ordering as N
@@ -71,6 +73,23 @@ def test_duplicates(spark, seed, same_sink):
     assert relations == {j: (root(j), site(rows[j], rows[root(j)])) for j in chain}
 
 
+def test_duplicates_in_shares_and_rounds_leave_only_their_result(spark, monkeypatch):
+    tables.drop_written()
+    monkeypatch.setattr(tables, "MANY_ROWS", 10)
+    monkeypatch.setattr(C, "FEW_WATCHES", 0)
+    rows = items(4, 60)
+    rows += [(len(rows) + i, *rows[i * 7][1:]) for i in range(8)]  # copies, which their first stands for
+    df = spark.createDataFrame(rows, COLUMNS)
+    want = plain_pass(rows, 2, {"logic-flaw"}, True)
+    got = C.trivial_duplicates(df, 2, ["logic-flaw"], True)
+    assert {r.ord: r.parent for r in got.collect() if r.parent is not None} == want and got.count() == len(rows)
+    tables.drop_written()
+    relations = C.duplicate_relations(df, 2, ["logic-flaw"], True)
+    held = {os.path.dirname(f.removeprefix("file:").lstrip("/")) for f in relations.inputFiles()}
+    assert {p.removeprefix("file:").lstrip("/") for _, p in tables._WRITTEN} == held
+    assert {r.ord for r in relations.collect()} >= set(want)
+
+
 def test_no_items(spark):
     assert C.duplicate_relations(spark.createDataFrame([], COLUMNS), 2).count() == 0
 
