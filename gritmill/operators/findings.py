@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 
 from gritmill.functions import severity as S
 from gritmill.functions import text as X
-from gritmill.operators.ordering import place_in_group
+from gritmill.operators.ordering import LARGEST_GROUP, place_in_group
+from gritmill.tables import Stage, shares
 
 # Weaknesses that need no data flow, and words that tell of a secret.
 POINT_CWES = [798, 259, 321, 256, 352, 1004, 614, 307, 778, 311, 312, 532, 209]
@@ -196,16 +198,31 @@ def canonical_order() -> list[Column]:
 def tiered_match(current: DataFrame, baseline: DataFrame, tiers: list[str]) -> DataFrame:
     """One-to-one matches by equal keys, tier after tier: the k-th current row of a key takes the k-th baseline row of it.
 
-    Every tier is an equi-join on (key, number); a row matched once leaves by anti-join.
+    Both sides meet in one shuffle a tier, by shares of the keys; a pair (key, k) of two rows
+    is a match, one of a single row goes on to the next tier, with what keys it has left.
     """
-    matched = None
-    left, right = current, baseline
-    for t in tiers:
-        number = lambda df, order, key=t: place_in_group(df.where(F.col(key).isNotNull()), [key], F.col(order), "k")
-        hit = number(left, "cur").select(t, "k", "cur").join(number(right, "base").select(t, "k", "base"), [t, "k"]).select("cur", "base", F.lit(t).alias("tier"))
-        matched = hit if matched is None else matched.unionByName(hit)
-        left, right = left.join(hit.select("cur"), "cur", "left_anti"), right.join(hit.select("base"), "base", "left_anti")
-    return matched
+    stage = Stage(current.sparkSession)
+    null = lambda df, name: F.lit(None).cast(df.schema[name].dataType).alias(name)
+    left = current.select(F.lit(False).alias("s"), "cur", null(baseline, "base"), *tiers)
+    rows = left.unionByName(baseline.select(F.lit(True).alias("s"), null(current, "cur"), "base", *tiers))
+    many, hits = rows.count(), []
+    for i, t in enumerate(tiers):
+        # no key has more rows than its hash of 65,536; so that is told without a shuffle of the keys
+        most = rows.where(F.col(t).isNotNull()).groupBy(F.pmod(F.xxhash64(t), F.lit(1 << 16)).alias("h")).count().agg(F.max("count")).first()[0] or 0
+        later, now = tiers[i + 1 :], []
+        for share in shares(F.col(t), rows=many):
+            mine = rows.where(F.col(t).isNotNull() & share)
+            if most <= LARGEST_GROUP:
+                mine = mine.repartition(t).withColumn("h", F.xxhash64(t)).withColumn("k", F.row_number().over(W.partitionBy("h", t, "s").orderBy("cur", "base")))
+            else:
+                mine = place_in_group(mine, [t, "s"], F.struct("cur", "base"), "k").withColumn("h", F.xxhash64(t))
+            met = mine.groupBy("h", t, "k").agg((F.count("*") == 2).alias("both"), *[F.max(c).alias(c) for c in ("s", "cur", "base", *later)])
+            out = met.select("both", "s", "cur", "base", *[F.when(~F.col("both"), F.col(c)).alias(c) for c in later])
+            now.append(stage.write(out.where(reduce(Column.__or__, [F.col(c).isNotNull() for c in later], F.col("both"))), "met"))
+            hits.append(now[-1].where("both").select("cur", "base", F.lit(t).alias("tier")))
+        waiting = rows.where(F.col(t).isNull()).select("s", "cur", "base", *later)
+        rows = reduce(DataFrame.unionByName, [n.where("NOT both").select("s", "cur", "base", *later) for n in now], waiting)
+    return reduce(DataFrame.unionByName, hits)
 
 
 def digest(f: DataFrame) -> DataFrame:

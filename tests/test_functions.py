@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from gritmill import tables
 from gritmill.functions import masking as M
 from gritmill.functions import severity as S
 from gritmill.functions import text as X
@@ -140,6 +141,23 @@ def test_tiers_take_each_row_once(spark):
     assert got == {(1, 10, "v3"), (2, 11, "v1")}
 
 
+@pytest.mark.parametrize(("many", "largest"), [(10, 1_000_000), (1_000_000, 3)])
+def test_tiers_in_shares_and_with_large_keys(spark, monkeypatch, many, largest):
+    monkeypatch.setattr(tables, "MANY_ROWS", many)
+    monkeypatch.setattr(O, "LARGEST_GROUP", largest)
+    rng = random.Random(5)
+    sides = [[(i, rng.choice([None, "a", "b", "c"]), rng.choice([None, "x", "y"])) for i in rng.sample(range(100), n)] for n in (40, 30)]
+    want, left = set(), [sorted(x) for x in sides]
+    for at, tier in ((1, "v3"), (2, "v1")):
+        for key in {r[at] for r in left[0]} - {None}:
+            want |= {(c[0], b[0], tier) for c, b in zip(*[[r for r in x if r[at] == key] for x in left], strict=False)}
+        left = [[r for r in x if r[0] not in {w[side] for w in want}] for side, x in enumerate(left)]
+    dfs = [spark.createDataFrame(x, f"{name} int, v3 string, v1 string") for name, x in zip(("cur", "base"), sides, strict=True)]
+    out = O.tiered_match(*dfs, ["v3", "v1"])
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()  # nothing is shuffled anew when it is read
+    assert sorted(tuple(r) for r in out.collect()) == sorted(want)
+
+
 def test_next_fit(spark):
     df = spark.createDataFrame([("g", i, s) for i, s in enumerate([5, 5, 5, 20, 1])], "grp string, ord int, loc long")
     assert [r.shard for r in next_fit(df, "grp", "ord", "loc", 10, 9).orderBy("ord").collect()] == [0, 0, 1, 2, 3]
